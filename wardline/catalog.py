@@ -1,0 +1,6 @@
+"""Every query of the clinical operators over the test tables, with its DuckDB equivalent where SQL can express it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
