@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_hpylm
+from . import op1_hpylm, op9_substrings, op10_simhash
 from .tables import table
 
 
@@ -10,5 +10,13 @@ def op1_hpylm_score(spark, sf_dir):
     return op1_hpylm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hpylm_score,)}
+def op9_substring_dedup(spark, sf_dir):
+    return op9_substrings.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_dedup(spark, sf_dir):
+    return op10_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hpylm_score, op9_substring_dedup, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}
