@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_hpylm, op9_substrings, op10_simhash
+from . import op1_hpylm, op2_bpe, op3_toxicity, op9_substrings, op10_simhash
 from .tables import table
 
 
@@ -10,6 +10,14 @@ def op1_hpylm_score(spark, sf_dir):
     return op1_hpylm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark, sf_dir):
+    return op2_bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity_crf(spark, sf_dir):
+    return op3_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return op9_substrings.digest(table(spark, sf_dir, "documents"))
 
@@ -18,5 +26,5 @@ def op10_simhash_dedup(spark, sf_dir):
     return op10_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hpylm_score, op9_substring_dedup, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hpylm_score, op2_byte_bpe, op3_toxicity_crf, op9_substring_dedup, op10_simhash_dedup)}
 ORACLES: dict[str, str] = {}
