@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,35 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpointed(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         seed += 1
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
+
+
+def absorb(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unites, in the labels of a block's rows, the groups of each pair (i, j). Returns the new labels and pairs that
+    suffice for it: each label taken over costs one pair, however many pairs come in."""
+    used = []
+    while True:
+        different = label[i] != label[j]
+        i, j = i[different], j[different]
+        if not len(i):
+            return label, np.concatenate(used) if used else np.zeros((0, 2), np.int64)
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        order = np.lexsort((low, high))
+        one = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        used.append(np.stack([i[one], j[one]], axis=1))
+        to = np.arange(len(label))
+        to[high[one]] = low[one]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def tiled(keyed: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
+    """Rows of ``keyed`` whose key is not their own alone, ready to be compared within ``group``. A key with more than
+    ``size`` rows is cut into tiles; each pair of tiles is a group, in which ``side`` 0 meets side 1 (in a tile's
+    own group all are of side 0 and meet each other). So no task holds a whole frequent key, and each pair meets once."""
+    many = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    of = F.ceil(F.col("_n") / size).cast("long")
+    rows = keyed.join(many, keys).withColumn("_of", of).withColumn("_i", F.pmod(F.xxhash64(by), F.col("_of")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1), lambda j: F.struct((F.least("_i", j) * F.col("_of") + F.greatest("_i", j)).alias("pair"), (F.col("_i") > j).cast("int").alias("side")))
+    rows = rows.withColumn("_m", F.explode(meets))
+    return rows.select("*", F.xxhash64(*keys, "_m.pair").alias("group"), F.col("_m.side").alias("side")).drop("_n", "_of", "_i", "_m")

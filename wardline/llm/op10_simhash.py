@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import absorb, components
 from .op9_substrings import _joined
 from .tables import checkpointed
 from .words import Words
@@ -104,21 +104,8 @@ def linked(values: np.ndarray, radius: int) -> np.ndarray:
         rows, bits = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         i, j = q[rows], block[rows] * 64 + bits
         i, j = i[j < i], j[j < i]
-        while len(i):
-            different = label[i] != label[j]
-            i, j = i[different], j[different]
-            if not len(i):
-                break
-            # each higher label takes over the smallest it meets, until all pairs agree
-            a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-            order = np.lexsort((a, b))
-            one = order[np.concatenate([[True], b[order][1:] != b[order][:-1]])]
-            out.append(np.stack([i[one], j[one]], axis=1))
-            to = np.arange(n)
-            to[b[one]] = a[one]
-            while (to[to] != to).any():
-                to = to[to]
-            label = to[label]
+        label, used = absorb(label, i, j)
+        out.append(used)
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_hpylm, op2_bpe, op3_toxicity, op9_substrings, op10_simhash
+from pyspark.sql import functions as F
+
+from . import op1_hpylm, op2_bpe, op3_toxicity, op4_mixing, op5_urls, op6_quality, op7_topk, op8_pivots, op9_substrings, op10_simhash
 from .tables import table
 
 
@@ -18,6 +20,27 @@ def op3_toxicity_crf(spark, sf_dir):
     return op3_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_source_mixing(spark, sf_dir):
+    return op4_mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark, sf_dir):
+    return op5_urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_kneser_ney(spark, sf_dir):
+    return op6_quality.filtered(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_exact_topk(spark, sf_dir):
+    vectors = op7_topk.whole(table(spark, sf_dir, "embeddings"))
+    return op7_topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op8_pivot_dedup(spark, sf_dir):
+    return op8_pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return op9_substrings.digest(table(spark, sf_dir, "documents"))
 
@@ -26,5 +49,29 @@ def op10_simhash_dedup(spark, sf_dir):
     return op10_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hpylm_score, op2_byte_bpe, op3_toxicity_crf, op9_substring_dedup, op10_simhash_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hpylm_score,
+        op2_byte_bpe,
+        op3_toxicity_crf,
+        op4_source_mixing,
+        op5_url_filter,
+        op6_quality_kneser_ney,
+        op7_exact_topk,
+        op8_pivot_dedup,
+        op9_substring_dedup,
+        op10_simhash_dedup,
+    )
+}
+
+#: The exact search and the substring rule in plain SQL, over whole tables.
+ORACLES: dict[str, str] = {
+    "op7_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
