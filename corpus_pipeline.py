@@ -1,10 +1,71 @@
-"""The corpus pipeline; its stages follow as their operators are written."""
+"""The corpus pipeline: toxic documents go, near duplicates go, repeated passages go, sources are mixed, texts are encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.llm import op2_bpe, op3_toxicity, op4_mixing, op9_substrings, op10_simhash
+from wardline.llm.tables import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    """Documents whose toxicity score is under the threshold; the field is fitted on labelled rows among them."""
+    field = op3_toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return op3_toxicity.tag(docs, field, COLUMNS).where(F.col("score") < threshold).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each SimHash component. Of rows that share that id, one stays; rows without an
+    id stay."""
+    kept = op10_simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    with_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return with_id.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that earlier documents hold. Untouched texts stay as they are; the others are the words left,
+    joined by one space."""
+    cut = op9_substrings.remove_repeats(docs.withColumn("whole", F.col("text")), ("lang", "source", "n_chars", "whole"))
+    touched = F.col("n_removed") > 0
+    text = F.when(touched, F.col("kept")).otherwise(F.col("whole"))
+    n_chars = F.when(touched, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = op4_mixing.mix(docs).groupBy("source", "doc_id").agg(F.max("copies").alias("copies"))
+    c = copies.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), "copies")
+    joined = docs.join(c, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, with digests of the ids and of the bytes they decode to."""
+    rows = op2_bpe.encode(docs, ("doc_id", "source"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return rows.select("doc_id", "source", n.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", not_toxic), ("simhash", one_of_each), ("substrings", without_repeats), ("mixing", mixed), ("bpe", encoded)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the cluster's shared folder and read again."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{folder}/corpus-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
