@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -105,6 +107,12 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _powers(_INVERSE, n)[: n - k + 1])
 
 
+def tidy() -> None:
+    """Gives memory that a finished group has freed back to the system; a worker that lives on would keep it."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Numbers as byte planes, which a shuffle's compression shrinks well."""
     values = np.ascontiguousarray(values)
