@@ -15,9 +15,9 @@ NAMES = "region nation customer supplier part orders lineitem events documents e
 
 def plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 6) + 0.0
+        return None if math.isnan(x) else x + 0.0
     if isinstance(x, decimal.Decimal):
-        return round(float(x), 6)
+        return float(x)
     if isinstance(x, (list, tuple)):
         return tuple(plain(y) for y in x)
     if isinstance(x, dict):
