@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wardline.catalog import checks, clinical, coding, scoring, temporal
+from wardline.catalog import checks, clinical, coding, cohorts, records, scoring, temporal
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (clinical, temporal, coding, scoring, checks):
+for _part in (clinical, temporal, coding, scoring, checks, records, cohorts):
     QUERIES |= _part.CATALOG.queries
     ORACLES |= _part.CATALOG.oracles
