@@ -20,11 +20,12 @@ from .tables import fold
 from .words import SPACES, Words, grams, mix
 
 #: The labelled rows that the field is fitted on: at most so many of each label, of texts of at most so many bytes.
-SAMPLE_OF_EACH = 3000
-SAMPLE_BYTES = 20_000
+SAMPLE_OF_EACH = 1500
+SAMPLE_BYTES = 10_000
+_PART = 200
 _BITS = 18
 _COLUMN = 256
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 5, 6, 7, 8)
 _FLOOR = 0.05
 _SEPARATORS = SPACES.copy()
 _SEPARATORS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -106,24 +107,25 @@ class Field:
         joint = (joint / joint.sum(axis=0))[:, ~x.reset].sum(axis=1).reshape(2, 2)
         return p, joint, np.array([(1 - p)[x.reset].sum(), p[x.reset].sum()])
 
-    def fit(self, x: Tokens, y: np.ndarray, rounds: int = 15, rate: float = 1.0, penalty: float = 1e-6) -> None:
-        """Gradient ascent on the conditional likelihood, with a step for each weight that shrinks as it is used."""
-        moved, inner = np.zeros((2, 2)), ~x.reset
-        before = np.concatenate([[0], y[:-1]])
-        np.add.at(moved, (before[inner], y[inner]), 1)
-        started = np.array([(1 - y)[x.reset].sum(), y[x.reset].sum()], float)
+    def fit(self, parts: list[tuple[Tokens, np.ndarray]], rounds: int = 15, rate: float = 1.0, penalty: float = 1e-6) -> None:
+        """Gradient ascent on the conditional likelihood over parts of the sample, with a step for each weight that shrinks
+        as it is used."""
+        moved, started, n = np.zeros((2, 2)), np.zeros(2), max(1, sum(len(y) for _, y in parts))
+        for x, y in parts:
+            inner, before = ~x.reset, np.concatenate([[0], y[:-1]])
+            np.add.at(moved, (before[inner], y[inner]), 1)
+            started += [(1 - y)[x.reset].sum(), y[x.reset].sum()]
         used = np.full(1 << _BITS, 1e-8)
         for _ in range(rounds):
-            p, joint, begun = self.marginals(x, pairs=True)
-            step = y - p
-            g = np.zeros(1 << _BITS)
-            for index in x.index:
-                g += np.bincount(index, step, 1 << _BITS)
-            g -= penalty * len(y) * self.weights
+            g, joint, begun = -penalty * n * self.weights, np.zeros((2, 2)), np.zeros(2)
+            for x, y in parts:
+                p, j, b = self.marginals(x, pairs=True)
+                joint, begun = joint + j, begun + b
+                for index in x.index:
+                    g += np.bincount(index, y - p, 1 << _BITS)
             g[0] = 0
             used += g * g
             self.weights += rate * g / np.sqrt(used)
-            n = max(1, len(y))
             self.move += 5 * (moved - joint) / n
             self.start += 5 * (started - begun) / max(1.0, started.sum())
 
@@ -168,7 +170,10 @@ def token_labels(x: Tokens, toxic: np.ndarray) -> np.ndarray:
         pairs = np.unique(at[counts[doc]].astype(np.int64) * n + doc[counts[doc]])
         yes = np.bincount(pairs // n, toxic[pairs % n], len(names))
         no = np.bincount(pairs // n, ~toxic[pairs % n], len(names))
-        strong = (yes >= 5) & (yes / max(n1, 1) >= 20 * (no + 0.5) / max(n0, 1)) & (names != 0)
+        share = n1 / max(n1 + n0, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            surprise = 2 * (np.where(yes > 0, yes * np.log(yes / ((yes + no) * share)), 0) + np.where(no > 0, no * np.log(no / ((yes + no) * (1 - share))), 0))
+        strong = (surprise >= 25) & (yes / max(n1, 1) >= 6 * (no + 0.5) / max(n0, 1)) & (names != 0)
         out |= strong[at] & toxic[doc]
     return out
 
@@ -180,16 +185,36 @@ def fit(docs: DataFrame, labels: DataFrame, of_each: int = SAMPLE_OF_EACH, most_
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     ids = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(of_each) for t in (0, 1)]
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
+    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "text", "toxic", F.lit(0).alias("one"))
+    share = max(1, n.get(1, 0)) / max(1, n.get(0, 0) + n.get(1, 0))
+    # The sample is bounded, so it is fitted in one task, which has more room than the driver.
+    fitted = sample.groupBy("one").applyInArrow(_fitted(share), "weights binary, move array<double>, start array<double>, scale array<double>").first()
     field = Field()
-    x, y = Tokens(rows.column("text")), rows.column("toxic").to_numpy().astype(np.int64)
-    if y.sum():
-        field.fit(x, token_labels(x, y == 1))
-    if len(y):
-        field.calibrate(field.evidence(x)[1], y, max(1, n.get(1, 0)) / max(1, n.get(0, 0) + n.get(1, 0)))
+    if fitted is not None:
+        field.weights = np.frombuffer(fitted.weights, np.float32).astype(np.float64)
+        field.move, field.start, field.scale = np.array(fitted.move).reshape(2, 2), np.array(fitted.start), np.array(fitted.scale)
     return field
 
 
+def _fitted(share: float):
+    def fitted(key, rows):
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        field, texts, y = Field(), rows.column("text"), rows.column("toxic").to_numpy().astype(np.int64)
+        whole = Tokens(texts)
+        marks, first = token_labels(whole, y == 1), whole.words.first
+        del whole
+        parts = []
+        for i in range(0, len(y), _PART):
+            parts.append((Tokens(texts.slice(i, _PART)), marks[first[i] : first[min(i + _PART, len(y))]]))
+            parts[-1][0].keys = ()
+        if y.sum():
+            field.fit(parts)
+        field.calibrate(np.concatenate([field.evidence(x)[1] for x, _ in parts]), y, share)
+        return pa.table([pa.array([field.weights.astype(np.float32).tobytes()], pa.binary()), *(pa.array([x.ravel().tolist()], pa.list_(pa.float64())) for x in (field.move, field.start, field.scale))], ["weights", "move", "start", "scale"])
+
+    return fitted
+
+
 _SPANS = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
