@@ -178,17 +178,17 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), window: int = 1
     """Removes every word covered by a window of ``window`` words that also starts in a document with a smaller id.
 
     Columns: doc_id, those of ``carry``, kept (the words left, joined by one space), n_words, n_removed, removed (maximal
-    repeats as word offsets), kept_sha256. Null texts count as empty: nothing kept. A null id counts as larger than
+    repeats as word offsets), kept_sha256; carried columns of those names are left out. Null texts count as empty: nothing kept. A null id counts as larger than
     all others. Rows that repeat an id are one document to the rule, each with its own result. An empty table gives
     an empty result.
     """
-    carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "text"))]
+    carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "text", "kept", "n_words", "n_removed", "removed", "kept_sha256"))]
     docs = docs.select(*carry, "text")
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     n = chunks_of(docs, chunk_bytes)
     shards = max(1, -(-n // chunks_per_shard))
     dealt = chunked(docs, n)
-    by_chunk = dealt.groupBy("chunk")
+    by_chunk = dealt.groupBy("__chunk")
     shared = by_chunk.applyInArrow(_seeds(shards, window, seed), _ASK).groupBy("shard").applyInArrow(_shared(), _BITS)
     windows = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_extend(shards, window, seed), _ASK)
     found = windows.groupBy("shard").applyInArrow(_first, _FOUND)

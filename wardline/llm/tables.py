@@ -42,5 +42,5 @@ def chunks_of(docs: DataFrame, bytes_each: int) -> int:
 
 
 def chunked(docs: DataFrame, n: int) -> DataFrame:
-    """Adds ``chunk``: texts dealt evenly over ``n`` chunks, whatever key or source is frequent."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    """Adds ``__chunk``: texts dealt evenly over ``n`` chunks, whatever key or source is frequent."""
+    return docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
