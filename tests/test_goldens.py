@@ -241,14 +241,14 @@ def test_explanations(spark):
     assert np.allclose(w / w[0], [1, 2, 0, -1], atol=0.25)
     c = models.counterfactuals(lambda z: z[:, 0], np.array([0.4, 0, 0, 0]), base * 3, rng)
     assert (c[:, 0] >= 0.5).all() and models.attention_values(np.zeros(4)).tolist() == [0.25] * 4
-    bad = models.batch_score(spark.createDataFrame([("a", 1.0), ("b", -1.0)], "patient_id string, x double"), ["x"], _fails)
-    assert {(r.key, r.status) for r in bad.collect()} == {("a", "ok"), ("b", "error")}
 
+    def fails(x):
+        if (x < 0).any():
+            raise ValueError("negative")
+        return x[:, 0]
 
-def _fails(x):
-    if (x < 0).any():
-        raise ValueError("negative")
-    return x[:, 0]
+    bad = models.batch_score(spark.createDataFrame([("a", 1.0), ("b", -1.0)], "patient_id string, x double"), ["x"], fails)
+    assert {(r.key, r.status) for r in bad.collect()} == {("a", "ok"), ("b", "error")}
 
 
 def test_cox(spark):
