@@ -16,7 +16,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .tables import chunked, chunks_of
 from .words import Words, grams, pack, pack_sorted, unpack, unpack_sorted
@@ -197,4 +196,4 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), window: int = 1
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").alias("n_spans"))
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")

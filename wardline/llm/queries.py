@@ -68,10 +68,20 @@ QUERIES = {
 #: The exact search and the substring rule in plain SQL, over whole tables.
 ORACLES: dict[str, str] = {
     "op7_exact_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * CAST(e AS DOUBLE))) AS x FROM embeddings),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        s AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER h AS g, count(*) OVER h AS k FROM x WINDOW h AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        m AS (SELECT g, min(doc_id) AS lowest FROM s WHERE k = 13 GROUP BY g),
+        f AS (SELECT s.doc_id, i, word, coalesce(lowest < s.doc_id, FALSE) AS hit FROM s LEFT JOIN m ON s.g = m.g AND k = 13),
+        c AS (SELECT doc_id, i, word, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f),
+        r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS cut, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(cut, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+    """,
 }
