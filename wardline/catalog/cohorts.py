@@ -15,8 +15,8 @@ from wardline.operators import models as M
 from wardline.operators import monitor as O
 from wardline.plans import etl
 from wardline.plans.cohort import ENCOUNTERS_SQL, encounters
+from wardline.sources import files, synthetic
 from wardline.sources import stores as S
-from wardline.sources import synthetic
 from wardline.streaming import streams
 
 CATALOG = Catalog()
@@ -110,6 +110,23 @@ def patient_page(spark, sf):
     return S.find_patients(_patients(spark, sf), "12", "high").orderBy(F.desc("risk_score"), "patient_id").offset(5).limit(20)
 
 
+@add(f"WITH {_PATIENTS} SELECT * FROM (SELECT *, CASE WHEN patient_id % 2 = 0 THEN 'F' ELSE 'M' END AS gender FROM pt) WHERE gender = 'F' AND risk_score >= 0.4 AND risk_score < 0.75 AND lower(name) LIKE '%7%'")
+def patient_filter(spark, sf):
+    rows = _patients(spark, sf).withColumn("gender", F.when(F.col("patient_id") % 2 == 0, "F").otherwise("M"))
+    return S.find_patients(rows, " 7 ", "medium", ("name",), "F")
+
+
+@add(f"WITH {_PATIENTS} SELECT patient_id, CAST(3 + (length_of_stay IS NOT NULL)::INT AS BIGINT) AS n, name, CAST(length_of_stay AS VARCHAR) AS stay FROM pt")
+def patient_demographics(spark, sf):
+    r = files.as_patient_records(_patients(spark, sf))
+    return r.select("patient_id", F.size("demographics").cast("long").alias("n"), F.col("demographics")["name"].alias("name"), F.try_element_at("demographics", F.lit("length_of_stay")).alias("stay"))
+
+
+@add("SELECT user_id, '[' || string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) || ']' AS events FROM events GROUP BY user_id")
+def nested_columns_as_json(spark, sf):
+    return files.nested_as_json(table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("events")))
+
+
 @add(f"WITH {_PATIENTS} SELECT * FROM pt ORDER BY risk_score DESC, patient_id LIMIT 50 OFFSET 50")
 def patient_second_page(spark, sf):
     return S.page(_patients(spark, sf), 2, 50)

@@ -57,3 +57,17 @@ def as_report(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     clean = df.withColumns({c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)) for c, k in kinds.items() if k in ("double", "float")})
     return clean.select(F.to_json(F.struct(*clean.columns)).alias("json"))
+
+
+def nested_as_json(df: DataFrame) -> DataFrame:
+    """Struct, map and array columns as JSON text, so that any format can hold them."""
+    return df.withColumns({c: F.to_json(c) for c, k in df.dtypes if k.startswith(("struct", "map", "array"))})
+
+
+def as_patient_records(df: DataFrame, key: str = "patient_id") -> DataFrame:
+    """The key, and all other values that aren't missing as a map of texts."""
+    require(df, [key])
+    names = [c for c in df.columns if c != key]
+    text = {c: F.when(~F.isnan(c), F.col(c)).cast("string") if k in ("double", "float") else F.col(c).cast("string") for c, k in df.dtypes}
+    pairs = F.create_map(*(x for c in names for x in (F.lit(c), text[c])))
+    return df.select(key, F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("demographics"))

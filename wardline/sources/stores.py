@@ -131,9 +131,9 @@ def risk_band(score: Column, high: float = 0.75, medium: float = 0.40) -> Column
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 
 
-def find_patients(patients: DataFrame, term: str = "", band: str = "all", fields=("name", "patient_id", "mrn")) -> DataFrame:
-    """Patients with the term in one of the fields, whatever its case (% and _ are wildcards), of a risk band."""
-    rows = patients
+def find_patients(patients: DataFrame, term: str = "", band: str = "all", fields=("name", "patient_id", "mrn"), gender: str = "all") -> DataFrame:
+    """Patients with the term in one of the fields, whatever its case (% and _ are wildcards), of a risk band and gender."""
+    rows = patients if gender in ("", "all") else patients.where(F.col("gender") == gender)
     term = term.strip().lower()
     if term:
         test = F.lit(False)
@@ -215,6 +215,12 @@ def delete_version(registry: DataFrame, name: str, version: str) -> DataFrame:
     return registry.where(~((F.col("name") == name) & (F.col("version") == version) & (F.col("stage") != "production")))
 
 
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """SHA-256 of every file below a path, to verify what was registered."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def versions(registry: DataFrame, name: str, stage: str | None = None) -> DataFrame:
     rows = registry.where((F.col("name") == name) & (F.col("version") != "latest"))
     return (rows.where(F.col("stage") == stage) if stage else rows).orderBy("registered_at", "version")
