@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def require(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -35,6 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def running_totals(rows: DataFrame, order: str, columns: list[str], by: list[str] = (), bins: int = 256) -> DataFrame:
+    """Adds to each row, for each column, ``{c}_upto``: its sum over the rows of the group from the largest ``order`` down to this
+    one, and ``{c}_total``, over all of the group.
+
+    No task sees a whole group: rows are cut into bins by quantiles of ``order``, run within their bin, and get the totals of
+    the bins above, of which there are ``bins`` for each group at most. ``order`` tells a group's rows apart.
+    """
+    cuts = rows.select(F.percentile_approx(order, [i / bins for i in range(1, bins)], 10_000).alias("c")).first().c or []
+    bin_ = F.coalesce(F.array_size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(order))), F.lit(0)) if cuts else F.lit(0)
+    binned = rows.withColumn("_bin", bin_)
+    sums = binned.groupBy(*by, "_bin").agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
+    above = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    totals = sums.select(*(F.col(k).alias(f"_k_{k}") for k in [*by, "_bin"]), *(F.coalesce(F.sum(f"_s_{c}").over(above), F.lit(0)).alias(f"_a_{c}") for c in columns), *(F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in columns))
+    on = F.lit(True)
+    for k in [*by, "_bin"]:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    own = Window.partitionBy(*by, "_bin").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    run = binned.join(totals, on)
+    return run.select(*rows.columns, *((F.sum(c).over(own) + F.col(f"_a_{c}")).alias(f"{c}_upto") for c in columns), *(f"{c}_total" for c in columns))
+
+
 class Catalog:
     """Queries by name, each with its DuckDB equivalent where there is one."""
 

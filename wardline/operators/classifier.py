@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from wardline.frames import running_totals
 
 THRESHOLDS = tuple(round(0.1 * i, 1) for i in range(1, 10))
 
@@ -19,22 +20,18 @@ def by_score(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = ()) -> D
     return rows.groupBy(*by, F.col(p).alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
 
 
-def _order(by: list[str], descending: bool = True):
-    return Window.partitionBy(*by) if not descending else Window.partitionBy(*by).orderBy(F.desc("score"))
-
-
 def auc(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = ()) -> DataFrame:
     """Area under the ROC curve with ties at half (Mann-Whitney); null with one outcome only."""
-    s = by_score(df, p, y, by).withColumn("above", F.sum("pos").over(_order(by).rowsBetween(Window.unboundedPreceding, -1)))
-    won = F.sum(F.col("neg") * (F.coalesce("above", F.lit(0)) + F.col("pos") / 2))
+    s = running_totals(by_score(df, p, y, by), "score", ["pos", "neg"], by)
+    won = F.sum(F.col("neg") * (F.col("pos_upto") - F.col("pos") / 2))
     return s.groupBy(*by).agg(won.alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
 
-def curve(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = ()) -> DataFrame:
-    """One row for each distinct threshold, from the highest: tp, fp, recall (tpr), fpr, precision and F1 at it."""
-    w = _order(by).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    s = by_score(df, p, y, by).select(*by, F.col("score").alias("threshold"), F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(every).alias("n_pos"), F.sum("neg").over(every).alias("n_neg"))
+def curve(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = (), with_counts: bool = False) -> DataFrame:
+    """One row for each distinct threshold, from the highest: tp, fp, recall (tpr), fpr, precision and F1 at it (and
+    its own positives, ``pos``)."""
+    s = running_totals(by_score(df, p, y, by), "score", ["pos", "neg"], by)
+    s = s.select(*by, F.col("score").alias("threshold"), F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("pos_total").alias("n_pos"), F.col("neg_total").alias("n_neg"), *(["pos"] if with_counts else []))
     recall, precision = F.try_divide(F.col("tp").cast("double"), F.col("n_pos").cast("double")), F.col("tp") / (F.col("tp") + F.col("fp"))
     s = s.withColumn("tpr", recall).withColumn("fpr", F.try_divide(F.col("fp").cast("double"), F.col("n_neg").cast("double"))).withColumn("precision", precision)
     return s.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("tpr"), F.col("precision") + F.col("tpr")), F.lit(0.0)))
@@ -42,9 +39,8 @@ def curve(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = ()) -> Data
 
 def average_precision(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = ()) -> DataFrame:
     """The sum over thresholds of precision times the gain in recall."""
-    c = curve(df, p, y, by)
-    before = F.coalesce(F.lag("tpr").over(Window.partitionBy(*by).orderBy(F.desc("threshold"))), F.lit(0.0))
-    return c.withColumn("gain", F.col("tpr") - before).groupBy(*by).agg(F.sum(F.col("precision") * F.col("gain")).alias("average_precision"))
+    c = curve(df, p, y, by, with_counts=True)
+    return c.groupBy(*by).agg(F.sum(F.col("precision") * F.col("pos") / F.col("n_pos")).alias("average_precision"))
 
 
 def best_f1(df: DataFrame, p: str = "p", y: str = "y", by: list[str] = ()) -> DataFrame:

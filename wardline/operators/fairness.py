@@ -83,7 +83,7 @@ def optimal_thresholds(df: DataFrame, group: str, p: str = "p", y: str = "y", go
 def rescored(df: DataFrame, group: str, thresholds: DataFrame, p: str = "p") -> DataFrame:
     """Scores moved so that 0.5 stands at each group's threshold."""
     t = thresholds.select(group, F.col("threshold").alias("_t"))
-    return df.join(F.broadcast(t), group, "left").withColumn(p, F.col(p) - F.coalesce("_t", F.lit(0.5)) + 0.5).drop("_t")
+    return df.join(t, group, "left").withColumn(p, F.col(p) - F.coalesce("_t", F.lit(0.5)) + 0.5).drop("_t")
 
 
 def group_weights(df: DataFrame, group: str) -> DataFrame:
@@ -91,7 +91,7 @@ def group_weights(df: DataFrame, group: str) -> DataFrame:
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_groups"), F.avg(1 / F.col("_n")).alias("_mean"))
     w = sizes.crossJoin(F.broadcast(total)).select(group, (F.col("_all") / (F.col("_groups") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(w), group)
+    return df.join(w, group)
 
 
 def reweighted(df: DataFrame, group: str, p: str = "p") -> DataFrame:
@@ -101,14 +101,14 @@ def reweighted(df: DataFrame, group: str, p: str = "p") -> DataFrame:
     overall = df.agg(F.avg(p).alias("_mean"))
     m = means.crossJoin(F.broadcast(overall))
     scale = F.when((F.col("_own") > 0) & (F.abs(F.col("_own") - F.col("_mean")) > 1e-9), (0.8 * F.col("_mean") + 0.2 * F.col("_own")) / F.col("_own")).otherwise(1.0)
-    return df.join(F.broadcast(m.select(group, scale.alias("_scale"))), group, "left").withColumn(p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p) * F.coalesce("_scale", F.lit(1.0))))).drop("_scale")
+    return df.join(m.select(group, scale.alias("_scale")), group, "left").withColumn(p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p) * F.coalesce("_scale", F.lit(1.0))))).drop("_scale")
 
 
 def debiased(df: DataFrame, key: str, group: str, seed: int = 0) -> DataFrame:
     """A stand-in for adversarial training: hashed scores, moved half way to their overall mean within each group."""
     raw = df.withColumn("p", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0)
     means = raw.groupBy(group).agg(F.avg("p").alias("_own")).crossJoin(F.broadcast(raw.agg(F.avg("p").alias("_mean"))))
-    return raw.join(F.broadcast(means), group).withColumn("p", F.col("p") + 0.5 * (F.col("_mean") - F.col("_own"))).drop("_own", "_mean")
+    return raw.join(means, group).withColumn("p", F.col("p") + 0.5 * (F.col("_mean") - F.col("_own"))).drop("_own", "_mean")
 
 
 def cross_validated(df: DataFrame, group: str, key: str, p: str = "p", y: str = "y", folds: int = 5, seed: int = 42, threshold: float = 0.5) -> DataFrame:

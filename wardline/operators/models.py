@@ -17,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.frames import running_totals
+
 Predict = Callable[[np.ndarray], np.ndarray]
 MODELS = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier, "factorization": FMClassifier}
 #: Rows of background data that explainers hold.
@@ -79,8 +81,8 @@ def batch_summary(results: DataFrame, high: float = 0.75, medium: float = 0.40)
 def cox(df: DataFrame, time: str, event: str, features: list[str], rounds: int = 8) -> dict[str, float]:
     """Coefficients of a proportional hazards model by Newton's method (ties by Breslow).
 
-    Rows are summed up by time first; sums over the risk sets are then running totals over distinct times, dealt in
-    bins by time, so that each round is two aggregations and only sums of the features' size reach the driver.
+    Rows are summed up by time first; sums over the risk sets are then running totals over distinct times, in bins by
+    time, so that each round is two aggregations and only sums of the features' size reach the driver.
     """
     n = len(features)
     rows = df.select(F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("d"), F.array(*(F.col(f).cast("double") for f in features)).alias("x")).where("t IS NOT NULL").persist()
@@ -92,7 +94,8 @@ def cox(df: DataFrame, time: str, event: str, features: list[str], rounds: int =
         s2 = [F.sum(F.col("e") * F.col("x")[i] * F.col("x")[j]).alias(f"b{i}_{j}") for i in range(n) for j in range(i, n)]
         sx = [F.sum(F.col("d") * F.col("x")[i]).alias(f"x{i}") for i in range(n)]
         by = w.groupBy("t").agg(F.sum("d").alias("d"), F.sum("e").alias("e"), *s1, *s2, *sx)
-        total = risk_totals(by, "t", ["e", *(f"a{i}" for i in range(n)), *(f"b{i}_{j}" for i in range(n) for j in range(i, n))])
+        sums = ["e", *(f"a{i}" for i in range(n)), *(f"b{i}_{j}" for i in range(n) for j in range(i, n))]
+        total = running_totals(by, "t", sums).drop(*sums).withColumnsRenamed({f"{c}_upto": c for c in sums})
         g = [F.sum(F.col(f"x{i}") - F.col("d") * F.col(f"a{i}") / F.col("e")).alias(f"g{i}") for i in range(n)]
         h = [F.sum(F.col("d") * (F.col(f"b{i}_{j}") / F.col("e") - F.col(f"a{i}") * F.col(f"a{j}") / F.pow("e", F.lit(2)))).alias(f"h{i}_{j}") for i in range(n) for j in range(i, n)]
         r = total.where("d > 0").agg(*g, *h).first()
@@ -106,23 +109,6 @@ def cox(df: DataFrame, time: str, event: str, features: list[str], rounds: int =
     return dict(zip(features, beta.tolist()))
 
 
-def risk_totals(by: DataFrame, time: str, columns: list[str], bins: int = 64) -> DataFrame:
-    """Each column's sum over rows of the same or a later time: running within bins by time, plus the totals of later bins."""
-    from pyspark.sql.window import Window
-
-    cuts = by.select(F.percentile_approx(time, [i / bins for i in range(1, bins)], 10_000).alias("c")).first().c or []
-    at = F.lit(0)
-    for c in sorted(set(cuts)):
-        at = at + (F.col(time) > c).cast("int")
-    rows = by.withColumn("_bin", at)
-    sums = rows.groupBy("_bin").agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
-    after = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    later = sums.select("_bin", *(F.coalesce(F.sum(f"_s_{c}").over(after), F.lit(0.0)).alias(f"_l_{c}") for c in columns))
-    own = Window.partitionBy("_bin").orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.join(F.broadcast(later), "_bin")
-    return run.select(*(c for c in by.columns if c not in columns), *((F.sum(c).over(own) + F.col(f"_l_{c}")).alias(c) for c in columns))
-
-
 def background(df: DataFrame, features: list[str], key: str, n: int = BACKGROUND) -> np.ndarray:
     """At most ``n`` rows of the smallest hashed keys, as a matrix."""
     rows = df.orderBy(F.xxhash64(key), key).limit(n).select(*(F.col(f).cast("double") for f in features)).collect()

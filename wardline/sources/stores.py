@@ -37,7 +37,7 @@ class FeatureStore:
             old = self.all()
         except AnalysisException:
             return self._write(new)
-        touched = old.join(F.broadcast(new.select("feature_date").distinct()), "feature_date", "left_semi")
+        touched = old.join(new.select("feature_date").distinct(), "feature_date", "left_semi")
         kept = touched.join(new.select("patient_id", "feature_date"), ["patient_id", "feature_date"], "left_anti")
         self._write(_stable(kept.unionByName(new, allowMissingColumns=True)))
 
