@@ -162,7 +162,9 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     tiled = keyed.join(many, ["t", "v"]).select("bits", "t", "v", tiles.alias("of"), tile)
     pairs = F.when(F.col("of") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), lambda j: F.least("i", j) * F.col("of") + F.greatest("i", j)))
     groups = tiled.select("bits", "t", "v", F.explode(pairs).alias("p")).select(F.xxhash64("t", "v", "p").alias("group"), "bits")
-    return groups.repartition("group").sortWithinPartitions("group").mapInArrow(_compare(radius), "a long, b long")
+    # By number, as the comparison of few bytes is long and small partitions would be joined.
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -179,5 +181,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     joined = classes.join(roots, "bits")
     least = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
     several = joined.join(least, "root").select("bits", "component_id")
-    ids = classes.join(several, "bits", "left").select("bits", F.coalesce("component_id", "doc").alias("component_id"))
+    # Written, so that the last join has a shuffle on either side and the rows of a frequent fingerprint can be split.
+    ids = checkpointed(classes.join(several, "bits", "left").select("bits", F.coalesce("component_id", "doc").alias("component_id")))
     return each.join(ids, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
