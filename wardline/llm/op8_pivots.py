@@ -142,14 +142,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int = PIVOT
     sets = F.array(*(F.array(*(F.get("near", i) for i in s)) for s in _SETS))
     keyed = tiled(described.select("id", F.explode(F.array_distinct(sets)).alias("key")), ["key"], "id", TILE)
     lists = keyed.join(described, "id").select("group", "side", "key", "id", "n", "v", "near")
-    found = checkpointed(lists.repartition("group").sortWithinPartitions("group", "id").mapInArrow(_verify(least), "a long, b long, n long"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = checkpointed(lists.repartition(parts, "group").sortWithinPartitions("group", "id").mapInArrow(_verify(least), "a long, b long, n long"))
     roots = components(found.where("a <> b").select("a", "b"))
     counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     linked = classes.select("id", "doc").join(roots.withColumnRenamed("node", "id"), "id")
     lowest = linked.groupBy("root").agg(F.min("doc").alias("component"))
     several = linked.join(lowest, "root").select("id", "component")
     known = classes.select("id", "doc", "n").join(counts, "id", "left").join(several, "id", "left")
-    known = known.select("id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "doc").alias("component"))
+    known = checkpointed(known.select("id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "doc").alias("component")))
     each = rows.select("vec_id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("id")).join(known, "id", "left")
     component = F.when(F.col("id").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return each.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
