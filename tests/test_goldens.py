@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.frames import require
+from wardline.frames import require, running_totals
 from wardline.functions import icd, phi
 from wardline.functions.register import register
 from wardline.functions.student import two_sided_p
@@ -96,6 +96,18 @@ def test_temporal(spark):
         temporal.window_features(df, ["patient_id"], "ts", "v", aggregates=("mode",))
 
 
+def test_running_totals(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 3 else int(g), float(i), int(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 9, 400)))]
+    df = spark.createDataFrame(rows, "g int, x double, v long")
+    for by in ([], ["g"]):
+        got = {r.x: (r.v_upto, r.v_total) for r in running_totals(df, "x", ["v"], by, bins=7).collect()}
+        for g, x, _ in rows:
+            mine = [(b, c) for a, b, c in rows if not by or a == g]
+            assert got[x] == (sum(c for b, c in mine if b >= x), sum(c for _, c in mine))
+    assert running_totals(df.limit(0), "x", ["v"]).count() == 0
+
+
 def test_student():
     # values of printed tables: two-sided 5 % points
     for df, t in ((1, 12.706), (5, 2.571), (10, 2.228), (30, 2.042), (120, 1.980)):
