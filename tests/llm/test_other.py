@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from wardline.llm import op4_mixing, op5_urls, op7_topk
+from wardline.llm import op4_mixing, op5_urls, op7_topk, tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,6 +45,12 @@ def test_mixing(odd_docs, no_docs, sample):
     assert op4_mixing.mix(no_docs).count() == 0
 
 
+def test_sources_too_many_to_broadcast(odd_docs, monkeypatch):
+    want = sorted(repr(r) for r in op4_mixing.mix(odd_docs).collect())
+    monkeypatch.setattr(tables, "BROADCAST", 1)
+    assert sorted(repr(r) for r in op4_mixing.mix(odd_docs).collect()) == want
+
+
 def test_pivotal_keeps_sums_and_expectations(spark):
     df = spark.range(900).selectExpr("'s' AS source", "id", "CAST(1 + id % 7 AS DOUBLE) AS m", "0.3D AS f")
     n = spark.createDataFrame([("s", 900)], "source string, n long")

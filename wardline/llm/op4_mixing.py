@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import WORD, checkpointed
+from .tables import WORD, attached, checkpointed
 
 #: Documents of a leaf on average, and leaves that meet in the one above.
 LEAF = 32
@@ -86,9 +86,9 @@ def pivotal(units: DataFrame, n: DataFrame, seed: int = 0) -> DataFrame:
     """``units``: source, id, m (words, over 0), f (fraction, over 0 and under 1); ``n``: source and its number of units.
     Returns id and k, 0 or 1, of every unit; ``id`` tells all units apart."""
     leaves = F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)).cast("long")
-    counted = n.select(F.col("source").alias("of"), leaves.alias("leaves"))
+    counted = n.select("source", leaves.alias("leaves"))
     biggest = counted.agg(F.max("leaves").alias("n")).first().n or 1
-    level = units.join(counted, F.col("source").eqNullSafe(F.col("of"))).select("source", F.pmod(F.xxhash64("id"), F.col("leaves")).alias("leaf"), F.struct("m", "id", "f").alias("unit"))
+    level = attached(units, counted, "source", "id").select("source", F.pmod(F.xxhash64("id"), F.col("leaves")).alias("leaf"), F.struct("m", "id", "f").alias("unit"))
     out = []
     while True:
         grouped = level.groupBy("source", "leaf").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
@@ -116,12 +116,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """
     sized = checkpointed(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     sources = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most))
-    known = sources.select(F.col("source").alias("of"), "source_size", "target")
+    known = sources.select("source", "source_size", "target")
     each = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     whole = F.floor(each + _EDGE)
-    units = sized.groupBy("source", "doc_id").agg(F.sum("size").cast("double").alias("m")).join(known, F.col("source").eqNullSafe(F.col("of")))
+    units = attached(sized.groupBy("source", "doc_id").agg(F.sum("size").cast("double").alias("m")), known, "source", "doc_id")
     units = units.select("source", F.xxhash64("source", "doc_id").alias("id"), "m", (each - whole).alias("f")).where((F.col("f") > _EDGE) & (F.col("m") > 0))
     drawn = pivotal(units, sources.select("source", "n"), seed)
-    rows = sized.withColumn("id", F.xxhash64("source", "doc_id")).join(drawn, "id", "left").join(known, F.col("source").eqNullSafe(F.col("of")))
+    rows = sized.withColumn("id", F.xxhash64("source", "doc_id")).join(drawn, "id", "left")
+    rows = attached(rows, known, "source", "doc_id")
     copies = (whole + F.coalesce("k", F.lit(0))).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -44,3 +44,19 @@ def chunks_of(docs: DataFrame, bytes_each: int) -> int:
 def chunked(docs: DataFrame, n: int) -> DataFrame:
     """Adds ``__chunk``: texts dealt evenly over ``n`` chunks, whatever key or source is frequent."""
     return docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+
+
+#: Rows up to which a table of keys is broadcast, and over how many salts a frequent key is spread beyond.
+BROADCAST, SALTS = 100_000, 64
+
+
+def attached(rows: DataFrame, known: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """``rows`` with the columns of ``known``, which has one row for each ``key`` (null is a key). A frequent key doesn't
+    meet in one task: ``known`` is broadcast if it is small, and else copied for salts that ``spread_by`` deals out."""
+    other = known.withColumnRenamed(key, "_key")
+    on = F.col(key).eqNullSafe(F.col("_key"))
+    if other.limit(BROADCAST + 1).count() <= BROADCAST:
+        return rows.join(F.broadcast(other), on).drop("_key")
+    salted = other.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, on & (F.col("_salt") == F.col("_copy"))).drop("_key", "_salt", "_copy")
