@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .tables import chunked, chunks_of
-from .words import Words, grams, pack, pack_sorted, unpack, unpack_sorted
+from .words import Words, grams, pack, pack_sorted, tidy, unpack, unpack_sorted
 
 _NO_ID = np.iinfo(np.int64).max
 _ASK = "shard int, chunk int, keys binary, lowest binary, several binary"
@@ -30,6 +30,7 @@ class _Windows:
     """The windows of a chunk's texts: hash, anchor and document of each."""
 
     def __init__(self, table: pa.Table, window: int, seed: int):
+        tidy()
         self.words = Words(table.column("text"))
         self.ids = table.column("doc_id").cast(pa.int64()).fill_null(_NO_ID).to_numpy()
         hashes = self.words.hashes()[0]
@@ -70,6 +71,7 @@ def _rows(rows: list[tuple], schema: str) -> pa.Table:
 def _asked(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, list, list]:
     """What the chunks sent to a shard: chunks, the smallest document of each key and whether it is in several, for all
     entries, and by chunk the keys and the entries' own smallest document and flag."""
+    tidy()
     table = table.sort_by("chunk")
     keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
     low = [unpack(x, np.int64) for x in table.column("lowest").to_pylist()]
@@ -181,8 +183,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), window: int = 1
     all others. Rows that repeat an id are one document to the rule, each with its own result. An empty table gives
     an empty result.
     """
-    carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "text", "kept", "n_words", "n_removed", "removed", "kept_sha256"))]
-    docs = docs.select(*carry, "text")
+    carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "kept", "n_words", "n_removed", "removed", "kept_sha256"))]
+    docs = docs.select(*dict.fromkeys([*carry, "text"]))
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     n = chunks_of(docs, chunk_bytes)
     shards = max(1, -(-n // chunks_per_shard))
