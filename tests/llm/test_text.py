@@ -134,14 +134,54 @@ def test_quality(spark, odd_docs, no_docs, odd_labels, no_labels):
         assert op6_quality.filtered(no_docs, labels_).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    model = op6_quality.Model(pa.array(["a b a c b a d", "b a c c a", "a b"]))
-    vocabulary = ["a", "b", "c", "d", "nothere"]
-    for context in ("a b", "b a", "c"):
-        n, base = model.loss(pa.array([context]))
-        _, with_next = model.loss(pa.array([f"{context} {w}" for w in vocabulary]))
-        # p(context, w, end) summed over w isn't 1 by itself; the words' own probabilities are compared through a table
-        assert (with_next > 0).all() and base[0] > 0
-    one, _, _, _ = op6_quality.tokens(pa.array(["a b c d"]))
-    p = model.words.get(one).astype(float) + model.unseen
-    assert math.isclose(p.sum() + model.unseen, 1.0, abs_tol=1e-6)
+def brute_kneser_ney(train, text):
+    """Words and -ln p of a text, by dictionaries: trigram counts, then numbers of types before, down to the uniform share."""
+    split = lambda t: ["<s>", "<s>", *re.findall(r"[^\x20\x09-\x0D.,;:!?]+", t.translate(LOWER)), "</s>"]
+    levels = [collections.Counter() for _ in range(3)]
+    for t in train:
+        w = split(t)
+        levels[0].update(zip(w, w[1:], w[2:]))
+    for k in (1, 2):
+        levels[k].update(key[1:] for key in levels[k - 1])
+
+    def discount(level, c):
+        n = collections.Counter(min(x, 5) for x in level.values())
+        if not n[1] or not n[2]:
+            return (0, 0.5, 0.75, 0.75)[min(c, 3)]
+        k, y = min(c, 3), n[1] / (n[1] + 2 * n[2])
+        return min(max(k - (k + 1) * y * n[k + 1] / max(1, n[k]), 0.05), k - 0.05)
+
+    def p(key):
+        level = levels[3 - len(key)]
+        inside = {k: c for k, c in level.items() if k[:-1] == key[:-1]}
+        total, left = sum(inside.values()), sum(discount(level, c) for c in inside.values())
+        lower = p(key[1:]) if len(key) > 1 else 1 / (len(level) + 1)
+        if not total:
+            return lower
+        own = inside.get(key, 0)
+        return (own - discount(level, own) if own else 0) / total + left / total * lower
+
+    w = split(text)
+    return len(w) - 2, sum(-math.log(p(tuple(w[i - 2 : i + 1]))) for i in range(2, len(w)))
+
+
+def test_kneser_ney(sample):
+    train = ["a b a c b a d", "b a c c a", "a b", "", "A, b. a c!", *(r.text[:400] for r in sample.orderBy("doc_id").limit(8).collect())]
+    model = op6_quality.Model(pa.array(train))
+    texts = ["a b a", "c", "", "never seen words", "a b nothere a b", "d d d", *train[5:8]]
+    n, loss = model.loss(pa.array(texts))
+    want = [brute_kneser_ney(train, t) for t in texts]
+    assert n.tolist() == [x for x, _ in want] and np.allclose(loss, [x for _, x in want], rtol=1e-4)
+    one, _, _, _ = op6_quality.tokens(pa.array([" ".join(train)]))
+    p = model.words.get(np.unique(one)).astype(float) + model.unseen
+    assert math.isclose(p.sum() + model.unseen, 1.0, abs_tol=1e-5)
+
+
+def test_samples_stay_bounded(spark):
+    """An id that many rows repeat counts as one labelled row."""
+    rows = [(1, f"kind words number {i}") for i in range(300)] + [(i, f"other text {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    one = docs.groupBy("doc_id").agg({"text": "min"}).toDF("doc_id", "text")
+    assert op6_quality.fit(docs, labels).unseen == op6_quality.fit(one, labels).unseen
+    assert (op3_toxicity.fit(docs, labels).scale == op3_toxicity.fit(one, labels).scale).all()

@@ -180,12 +180,14 @@ def token_labels(x: Tokens, toxic: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, of_each: int = SAMPLE_OF_EACH, most_bytes: int = SAMPLE_BYTES) -> Field:
     """Fits the field on at most ``of_each`` rows of either label, those of the smallest hashed ids, without the rows whose
-    crc32(doc_id) mod 4 is 2 and texts of over ``most_bytes`` bytes. Without toxic rows its scores are near 0."""
+    crc32(doc_id) mod 4 is 2 and texts of over ``most_bytes`` bytes. Of rows that repeat an id, the smallest text counts. Without
+    toxic rows its scores are near 0."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     ids = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(of_each) for t in (0, 1)]
-    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "text", "toxic", F.lit(0).alias("one"))
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    sample = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic", F.lit(0).alias("one"))
     share = max(1, n.get(1, 0)) / max(1, n.get(0, 0) + n.get(1, 0))
     # The sample is bounded, so it is fitted in one task, which has more room than the driver.
     fitted = sample.groupBy("one").applyInArrow(_fitted(share), "weights binary, move array<double>, start array<double>, scale array<double>").first()
