@@ -121,7 +121,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     whole = F.floor(each + _EDGE)
     units = attached(sized.groupBy("source", "doc_id").agg(F.sum("size").cast("double").alias("m")), known, "source", "doc_id")
     units = units.select("source", F.xxhash64("source", "doc_id").alias("id"), "m", (each - whole).alias("f")).where((F.col("f") > _EDGE) & (F.col("m") > 0))
-    drawn = pivotal(units, sources.select("source", "n"), seed)
+    # One row for each id, so that two documents of equal hash share a draw and stay two rows.
+    drawn = pivotal(units, sources.select("source", "n"), seed).groupBy("id").agg(F.max("k").alias("k"))
     rows = sized.withColumn("id", F.xxhash64("source", "doc_id")).join(drawn, "id", "left")
     rows = attached(rows, known, "source", "doc_id")
     copies = (whole + F.coalesce("k", F.lit(0))).cast("long")
