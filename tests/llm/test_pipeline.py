@@ -32,11 +32,35 @@ def test_stages(spark):
         assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
+def _rows(df):
+    return sorted((repr(tuple(r)) for r in df.select(*corpus_pipeline.COLUMNS).collect()))
+
+
 def test_odd_input(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, SF)
-            assert out.count() >= 0
+    (_, toxic), (_, near), (_, repeats), (_, mixed), (_, encoded) = corpus_pipeline.STAGES
+    # Nothing here is toxic, nulls, empty texts, rows without an id and repeated rows included.
+    assert _rows(toxic(spark, odd_docs, SF)) == _rows(odd_docs)
+    one = near(spark, odd_docs, SF).collect()
+    # 2, 3, 4 and the null text without an id have no words; 6 repeats 1, 14 repeats 13, 10 is 8's passage in capitals.
+    ids = [r.doc_id for r in one]
+    assert ids.count(2) == 1 and ids.count(1) == 1 and not {3, 4, 6, 14} & set(ids) and ids.count(None) == 2
+    assert [r.text for r in one if r.doc_id == 2] == [None]
+    cut = repeats(spark, odd_docs, SF).collect()
+    texts = {r.doc_id: r.text for r in cut}
+    assert len(cut) == odd_docs.count() and texts[9] == "own head two" and texts[14] == "" and texts[2] is None and texts[4] == " \t\n "
+    assert {r.n_chars for r in cut if r.doc_id == 9} == {len("own head two")}
+    mix = mixed(spark, odd_docs, SF)
+    copies = {}
+    for r in op4_mixing.mix(odd_docs).collect():
+        copies.setdefault((r.source, r.doc_id), []).append(r.copies)
+    counted = {(r.source, r.doc_id): r["count"] for r in mix.groupBy("source", "doc_id").count().collect()}
+    assert counted == {k: sum(v) for k, v in copies.items() if sum(v)}
+    out = encoded(spark, odd_docs, SF).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert len(out) == odd_docs.count() and all(r.n_tokens == 0 and r.ids_sha256 == empty for r in out if r.doc_id in (2, 3))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, no_docs, SF)
+        assert none.count() == 0 and (name == "bpe" or none.columns == list(corpus_pipeline.COLUMNS))
 
 
 def test_run(spark):
