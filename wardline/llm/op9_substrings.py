@@ -167,15 +167,17 @@ def _joined(w: Words, doc: np.ndarray, keep: np.ndarray) -> list[bytes]:
     step[end] -= 1
     mask = np.cumsum(step[:size], dtype=np.int8) > 0
     out = w.buf.copy()
-    spaces = end[:-1][doc[1:] == doc[:-1]] if len(end) else end
+    inner = doc[1:] == doc[:-1]
+    spaces = end[:-1][inner] if len(end) else end
     out[spaces] = 32
     mask[spaces] = True
-    cuts = np.concatenate([[0], np.cumsum(mask)])[w.offsets]
+    sizes = np.bincount(doc, end - start, len(w.first) - 1) + np.bincount(doc[1:][inner], minlength=len(w.first) - 1)
+    cuts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
     raw = out[mask].tobytes()
     return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), window: int = 13, seed: int = 5, chunk_bytes: int = 8 << 20, chunks_per_shard: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), window: int = 13, seed: int = 5, chunk_bytes: int = 4 << 20, chunks_per_shard: int = 4) -> DataFrame:
     """Removes every word covered by a window of ``window`` words that also starts in a document with a smaller id.
 
     Columns: doc_id, those of ``carry``, kept (the words left, joined by one space), n_words, n_removed, removed (maximal
