@@ -71,6 +71,15 @@ def test_hpylm_sums_to_one():
             assert mine.sum() == 6 and math.isclose(p[mine].sum(), 1.0, rel_tol=1e-5)
 
 
+def test_hpylm_levels_are_coupled(spark):
+    """Scores don't depend on how texts are dealt into chunks: the root's customers are the contexts' tables, not their chunks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, many = ({r.doc_id: r for r in op1_hpylm.score(docs, chunk_bytes=b).collect()} for b in (1 << 30, 10_000))
+    held = [r for r in one.values() if r.held_out]
+    apart = sum(many[r.doc_id].score - r.score for r in held) / sum(r.n_tokens for r in held)
+    assert len(one) == len(many) and abs(apart) < 0.003
+
+
 def test_bpe(spark, odd_docs, no_docs, sample):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(op2_bpe.VOCABULARY), "rb"))}
     exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -7,7 +7,13 @@ a shard sums the counts of its keys, draws the seating of its restaurants by Gib
 and answers each chunk in the chunk's own key order. So the traffic is one packed entry for each distinct word or pair
 of a chunk and grows in proportion to the corpus; a frequent word costs one entry per chunk, not one per occurrence.
 
-The dishes of context restaurants are identified by 32-bit hashes of the context and of the word, the root's by 64 bits.
+The levels are coupled by two exchanges of one entry for each word of a shard. Shards send how many of their contexts have
+a word; the root, seated from those, returns the words' prior, by which the contexts are sampled. The tables of each sweep
+kept go back by word, and the root that scores is seated from them. Nothing of this depends on how texts are dealt
+into chunks, but for the random draws. The shards' keys are read for each step and not kept in between.
+
+The dishes of context restaurants are identified by 32-bit hashes of the context and of the word, the root's by 64 bits;
+words of the root that share 32 bits divide their tables by their counts.
 A context frequent enough to fill a shard is spread over several by word; each chunk asks all of them for its tables.
 """
 
@@ -24,6 +30,7 @@ from .words import Words, mix, pack, pack_sorted, tidy, unpack, unpack_sorted
 _END = np.uint64(0xE4D)
 _PROBE = np.uint64(0xFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
+_NAMES = "kind shard chunk head keys counts extra"
 _ROWS = "kind int, shard int, chunk int, head binary, keys binary, counts binary, extra binary"
 _ANSWERS = "kind int, shard int, chunk int, head binary, values binary, extra binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -45,20 +52,38 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) ->
     return t
 
 
-def gibbs(c, context, prior, d, theta, spread, sweeps, burn, seed) -> np.ndarray:
-    """Mean tables per dish over the sweeps after ``burn``. ``context``: the restaurant of each dish, from 0 on;
+def sampled(c, context, prior, d, theta, spread, sweeps, burn, seed):
+    """Tables per dish in each of the sweeps after ``burn``. ``context``: the restaurant of each dish, from 0 on;
     ``spread``: in how many shards each restaurant is."""
     rng = np.random.default_rng(seed)
     t = (c > 0).astype(np.float64)
-    mean = np.zeros(len(c))
     for i in range(sweeps):
         tables = np.bincount(context, t, minlength=len(spread)) * spread
         t = seat(c, (theta + d * tables[context]) * prior, d, rng)
         if i >= burn:
-            mean += t / (sweeps - burn)
+            yield t
+
+
+def gibbs(c, context, prior, d, theta, spread, sweeps, burn, seed) -> np.ndarray:
+    """Mean tables per dish over the sweeps after ``burn``."""
+    mean = np.zeros(len(c))
+    for t in sampled(c, context, prior, d, theta, spread, sweeps, burn, seed):
+        mean += t / (sweeps - burn)
     return mean
 
 
+def seated_root(customers: np.ndarray, parts: int, d: float, theta: float, sweeps: int, burn: int, seed: int) -> np.ndarray:
+    """Mean tables per word of a root shard, one of ``parts``: a new table weighs (theta + d * tables) / (words + 1), of which
+    the shard takes its own words' and tables' part, as words are dealt by their hash."""
+    words = np.count_nonzero(customers)
+    return gibbs(customers, np.zeros(len(customers), np.int64), 1 / (words + 1 / parts), d, theta / parts, np.ones(1), sweeps, burn, seed)
+
+
+def _cuts(low: np.ndarray, shards: int) -> np.ndarray:
+    """Where each root shard begins among ascending lower halves of words."""
+    return np.searchsorted(low * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+
+
 class _Chunk:
     """Tokens, distinct words and distinct pairs of a chunk's texts, in an order that depends only on the texts."""
 
@@ -77,8 +102,6 @@ class _Chunk:
         pairs, self.pair = np.unique(before * len(self.words) + self.word, return_inverse=True)
         self.u, self.w = pairs // len(self.words), pairs % len(self.words)
         self.pair_counts = np.bincount(self.pair, train, len(pairs)).astype(np.int64)
-        #: One table for each pair of each chunk: the seating that sampling starts from.
-        self.tables = np.bincount(self.w, self.pair_counts > 0, len(self.words)).astype(np.int64)
         self.high = mix(self.words) >> np.uint64(32)
         low = self.words & _LOW
         u, key = self.u, (self.high[self.u] << np.uint64(32)) | low[self.w]
@@ -93,27 +116,26 @@ class _Chunk:
         self.key, self.key_u = key, u
         self.order = np.lexsort((key, shard))
         self.cuts = np.searchsorted(shard[self.order], np.arange(shards + 1))
-        self.word_cuts = np.searchsorted((self.words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+        #: The root's keys: words with the lower half first, as the pairs' keys have no more of a word.
+        turned = self.words << np.uint64(32) | self.words >> np.uint64(32)
+        self.word_order = np.argsort(turned)
+        self.turned = turned[self.word_order]
+        self.word_cuts = _cuts(self.turned >> np.uint64(32), shards)
 
 
 def _gather(shards: int, hot: dict[int, int]):
     def gather(key, table):
         tidy()
         x, rows = _Chunk(table, shards, hot), []
-        p = (x.tables + 0.5) / (x.tables.sum() + 0.5 * (len(x.words) + 1))
-        prior = np.clip(np.round(-8 * np.log2(p)), 0, 255).astype(np.uint8)
-        n = len(x.pair_counts)
         counts = np.zeros(len(x.key), np.int64)
-        counts[:n] = x.pair_counts
-        extra = np.full(len(x.key), 255, np.uint8)
-        extra[:n] = prior[x.w]
+        counts[: len(x.pair_counts)] = x.pair_counts
         for s in range(shards):
             a, b = x.word_cuts[s], x.word_cuts[s + 1]
-            rows.append((0, s, key[0].as_py(), b"", pack_sorted(x.words[a:b]), pack(x.counts[a:b]), pack(x.tables[a:b])))
+            rows.append((0, s, key[0].as_py(), b"", pack_sorted(x.turned[a:b]), pack(x.counts[x.word_order[a:b]]), b""))
             i = x.order[x.cuts[s] : x.cuts[s + 1]]
             if len(i):
-                rows.append((1, s, key[0].as_py(), b"", pack_sorted(x.key[i]), pack(counts[i]), extra[i].tobytes()))
-        return _rows(rows, "kind shard chunk head keys counts extra")
+                rows.append((1, s, key[0].as_py(), b"", pack_sorted(x.key[i]), pack(counts[i]), b""))
+        return _rows(rows, _NAMES)
 
     return gather
 
@@ -123,33 +145,133 @@ def _rows(rows: list[tuple], names: str) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names.split())
 
 
-def _answer(hot: dict[int, int], d: float, theta: float, root_d: float, sweeps: int, burn: int):
-    def answer(key, table):
+def _sum(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's messages by sender: the senders, the distinct keys, the place of each message's keys among them, where
+    each message begins, and the keys' counts."""
+    table = table.sort_by("chunk")
+    asked = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([unpack(x, np.int64) for x in table.column("counts").to_pylist()])
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in asked])])
+    return table.column("chunk").to_pylist(), keys, at, cuts, np.bincount(at, counts, len(keys)).astype(np.int64)
+
+
+def _by_word(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a shard's dishes with customers, and of each dish the place of its word."""
+    return np.unique(keys[c > 0] & _LOW, return_inverse=True)
+
+
+def _to_root(shard: int, shards: int, words: np.ndarray, numbers: list[np.ndarray]) -> pa.Table:
+    cuts = _cuts(words, shards)
+    return _rows([(0, r, shard, b"", pack_sorted(words[a:b]), pack(np.concatenate([x[a:b] for x in numbers]).astype(np.int64)), b"") for r, (a, b) in enumerate(zip(cuts, cuts[1:]))], _NAMES)
+
+
+def _from_shards(told: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The senders and, for each, the places of its words; the distinct words, and their summed numbers, a row for each sweep."""
+    told = told.sort_by("chunk")
+    sent = [unpack_sorted(x) for x in told.column("keys").to_pylist()]
+    words, at = np.unique(np.concatenate(sent), return_inverse=True)
+    at = np.split(at, np.cumsum([len(x) for x in sent])[:-1])
+    out = None
+    for i, x in zip(at, told.column("counts").to_pylist()):
+        x = unpack(x, np.int64)
+        if len(i):
+            out = np.zeros((len(x) // len(i), len(words)), np.int64) if out is None else out
+            out[:, i] += x.reshape(-1, len(i))
+    return told.column("chunk").to_pylist(), at, words, np.zeros((1, 0), np.int64) if out is None else out
+
+
+def _types(shards: int):
+    """Of a shard of contexts: in how many of them each word occurs, for the root."""
+
+    def types(key, table):
+        tidy()
+        if key[0].as_py() == 0:
+            return _rows([], _NAMES)
+        _, keys, _, _, c = _sum(table)
+        words, of = _by_word(keys, c)
+        return _to_root(key[1].as_py(), shards, words, [np.bincount(of, minlength=len(words))])
+
+    return types
+
+
+def _priors(shards: int, root_d: float, root_theta: float, sweeps: int, burn: int):
+    """The root as seated from those, for each shard's words in the order they came in."""
+
+    def priors(key, table):
+        tidy()
+        shard = key[1].as_py()
+        senders, at, words, n = _from_shards(table)
+        tables = seated_root(n[0], shards, root_d, root_theta, sweeps, burn, shard)
+        head = np.array([n.sum(), tables.sum(), len(words)], np.float64).tobytes()
+        values = (n[0] - root_d * tables).astype(np.float32)
+        return _rows([(1, s, shard, head, b"", pack(values[i]), b"") for s, i in zip(senders, at)], _NAMES)
+
+    return priors
+
+
+def _prior(told: pa.Table, root_d: float, root_theta: float) -> np.ndarray:
+    """The root's probability of each of a shard's words."""
+    told = told.sort_by("chunk")
+    customers, tables, words = np.sum([np.frombuffer(x) for x in told.column("head").to_pylist()], axis=0)
+    left = np.concatenate([unpack(x, np.float32) for x in told.column("counts").to_pylist()])
+    return (left + (root_theta + root_d * tables) / (words + 1)) / (root_theta + customers)
+
+
+def _contexts(keys, c, told, hot: dict[int, int], root_d: float, root_theta: float):
+    """Of a shard of contexts: each dish's restaurant and prior, in how many shards each restaurant is, and what ``_by_word`` gives.
+    Without the root's answer words are equally likely."""
+    contexts, context = np.unique(keys >> np.uint64(32), return_inverse=True)
+    spread = np.array([hot.get(int(x), 1) for x in contexts], dtype=np.float64)
+    words, of = _by_word(keys, c)
+    prior = np.zeros(len(keys))
+    prior[c > 0] = (_prior(told, root_d, root_theta) if told is not None else np.full(len(words), 1 / max(1, len(words))))[of]
+    return context, prior, spread, words, of
+
+
+def _tables(shards: int, hot: dict[int, int], d: float, theta: float, root_d: float, root_theta: float, sweeps: int, burn: int):
+    """Of a shard of contexts: the tables of each word in each sweep kept, for the root."""
+
+    def tables(key, table, told):
+        tidy()
+        if key[0].as_py() == 0:
+            return _rows([], _NAMES)
+        _, keys, _, _, c = _sum(table)
+        context, prior, spread, words, of = _contexts(keys, c, told, hot, root_d, root_theta)
+        each = [np.bincount(of, t[c > 0], len(words)) for t in sampled(c, context, prior, d, theta, spread, sweeps, burn, key[1].as_py())]
+        return _to_root(key[1].as_py(), shards, words, each)
+
+    return tables
+
+
+def _customers(keys: np.ndarray, c: np.ndarray, words: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The root's customers in each sweep: the contexts' tables of a word; words that share their lower half divide them by counts."""
+    at = np.searchsorted(words, keys >> np.uint64(32))
+    at = np.where(c > 0, np.minimum(at, max(0, len(words) - 1)), 0)
+    total = np.bincount(at, c, max(1, len(words)))
+    share = c / np.maximum(total[at], 1)
+    return np.maximum(np.round(tables[:, at] * share), c > 0).astype(np.int64) if len(words) else np.zeros((1, len(keys)), np.int64)
+
+
+def _answer(hot: dict[int, int], d: float, theta: float, root_d: float, sweeps: int, burn: int, shards: int = 1, root_theta: float = 1.0):
+    def answer(key, table, told=None):
+        """``told``: to the root, the contexts' tables; to contexts, their words' prior."""
         tidy()
         kind, shard = key[0].as_py(), key[1].as_py()
-        table = table.sort_by("chunk")
-        asked = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([unpack(x, np.int64) for x in table.column("counts").to_pylist()])
-        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        c = np.bincount(at, counts, len(keys)).astype(np.int64)
-        cuts = np.concatenate([[0], np.cumsum([len(x) for x in asked])])
+        chunks, keys, at, cuts, c = _sum(table)
         if kind == 0:
-            customers = np.bincount(at, np.concatenate([unpack(x, np.int64) for x in table.column("extra").to_pylist()]), len(keys)).astype(np.int64)
-            rng, mean = np.random.default_rng(shard), np.zeros(len(keys))
-            for _ in range(sweeps - burn):  # the base is uniform, so a new table weighs about the discount
-                mean += seat(customers, np.full(len(keys), root_d), root_d, rng) / (sweeps - burn)
-            head = np.array([c.sum(), (c > 0).sum(), customers.sum(), mean.sum()]).tobytes()
-            values, extra = (customers - root_d * mean).astype(np.float32), c
-            out = [(0, shard, k, head, pack(values[i]), pack(extra[i])) for k, i in zip(table.column("chunk").to_pylist(), (at[a:b] for a, b in zip(cuts, cuts[1:])))]
+            customers = _customers(keys, c, *_from_shards(told)[2:]) if told is not None and told.num_rows else (c > 0).astype(np.int64)[None]
+            mean = np.mean([seated_root(n, shards, root_d, root_theta, sweeps, burn, shard) for n in customers], axis=0)
+            n = customers.mean(axis=0)
+            head = np.array([c.sum(), (c > 0).sum(), n.sum(), mean.sum()]).tobytes()
+            values = (n - root_d * mean).astype(np.float32)
+            out = [(0, shard, k, head, pack(values[i]), pack(c[i])) for k, i in zip(chunks, (at[a:b] for a, b in zip(cuts, cuts[1:])))]
         else:
-            p = np.exp2(-np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("extra").to_pylist()]) / 8.0)
-            prior = np.bincount(at, p, len(keys)) / np.maximum(np.bincount(at, minlength=len(keys)), 1)
-            contexts, context = np.unique(keys >> np.uint64(32), return_inverse=True)
-            spread = np.array([hot.get(int(x), 1) for x in contexts], dtype=np.float64)
+            context, prior, spread, _, _ = _contexts(keys, c, told, hot, root_d, root_theta)
             mean = gibbs(c, context, prior, d, theta, spread, sweeps, burn, shard)
-            tables = np.bincount(context, mean, minlength=len(contexts)).astype(np.float32)
+            tables = np.bincount(context, mean, minlength=len(spread)).astype(np.float32)
             values, out = (c - d * mean).astype(np.float32), []
-            for k, a, b in zip(table.column("chunk").to_pylist(), cuts, cuts[1:]):
+            for k, a, b in zip(chunks, cuts, cuts[1:]):
                 i = at[a:b]
                 out.append((1, shard, k, b"", pack(values[i]), pack(tables[np.unique(context[i])])))
         return _rows(out, "kind shard chunk head values extra")
@@ -166,8 +288,9 @@ def _probabilities(x: _Chunk, got: dict, shards: int, d: float, theta: float, ro
     for s in range(shards) if got else ():
         head, values, extra = got[0, s]
         total += np.frombuffer(head)
-        root[x.word_cuts[s] : x.word_cuts[s + 1]] = unpack(values, np.float32)
-        c[x.word_cuts[s] : x.word_cuts[s + 1]] = unpack(extra, np.int64)
+        i = x.word_order[x.word_cuts[s] : x.word_cuts[s + 1]]
+        root[i] = unpack(values, np.float32)
+        c[i] = unpack(extra, np.int64)
         i = x.order[x.cuts[s] : x.cuts[s + 1]]
         if len(i):
             _, values, extra = got[1, s]
@@ -226,5 +349,9 @@ def score(docs: DataFrame, d: float = 0.8, theta: float = 1.0, root_d: float = 0
     hot = {r.word: int(r.n * 8 * shards // tokens) + 1 for r in heavy.where(F.col("n") * 8 * shards > tokens).collect()}
     dealt = chunked(docs, n)
     asked = dealt.groupBy("__chunk").applyInArrow(_gather(shards, hot), _ROWS)
-    answers = asked.groupBy("kind", "shard").applyInArrow(_answer(hot, d, theta, root_d, sweeps, burn), _ANSWERS)
+    by = ("kind", "shard")
+    priors = asked.groupBy(*by).applyInArrow(_types(shards), _ROWS).groupBy(*by).applyInArrow(_priors(shards, root_d, root_theta, sweeps, burn), _ROWS)
+    tables = asked.groupBy(*by).cogroup(priors.groupBy(*by)).applyInArrow(_tables(shards, hot, d, theta, root_d, root_theta, sweeps, burn), _ROWS)
+    answer = _answer(hot, d, theta, root_d, sweeps, burn, shards, root_theta)
+    answers = asked.groupBy(*by).cogroup(priors.unionByName(tables).groupBy(*by)).applyInArrow(lambda key, table, told: answer(key, table, told), _ANSWERS)
     return dealt.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shards, hot, d, theta, root_d, root_theta), _SCORES)
