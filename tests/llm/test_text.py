@@ -143,6 +143,15 @@ def test_quality(spark, odd_docs, no_docs, odd_labels, no_labels):
         assert op6_quality.filtered(no_docs, labels_).count() == 0
 
 
+def test_quality_of_unseen_documents(spark):
+    """Trusted documents that neither the model nor the thresholds have seen are kept, in a small table as well."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    seen = labels.where("crc32(cast(doc_id AS string)) % 4 <> 0")
+    rows = op6_quality.score(docs, seen).join(labels.where("quality = 1").join(seen, "doc_id", "left_anti"), "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r.kept for r in rows]) > 0.95
+
+
 def brute_kneser_ney(train, text):
     """Words and -ln p of a text, by dictionaries: trigram counts, then numbers of types before, down to the uniform share."""
     split = lambda t: ["<s>", "<s>", *re.findall(r"[^\x20\x09-\x0D.,;:!?]+", t.translate(LOWER)), "</s>"]
