@@ -285,3 +285,14 @@ def test_streams(spark, tmp_path):
     q = q.writeStream.format("memory").queryName("drifting").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.k: r.status for r in spark.table("drifting").collect()} == {"a": "Drift", "b": "Stable"}
+
+
+def test_calibration_by_group_of_many_rows(spark):
+    """A large group is fitted on all its rows: 9,000 rare scores count once each, not as the frequent one's share."""
+    n = 1_000_000
+    i = np.arange(n)
+    p, y = np.where(i < 9000, i / 10_000, 0.95), np.where(i < 9000, 1.0, i % 2)
+    rows = spark.range(n).selectExpr("'a' AS g", "if(id < 9000, id / 10000D, 0.95D) AS p", "if(id < 9000, 1, id % 2) AS y")
+    for method in ("isotonic", "platt", "beta"):
+        r = calibration.by_group(rows, "g", method=method).first()
+        assert r.n == n and abs(r.brier_after - np.mean((calibration.calibrated(p, y, method) - y) ** 2)) < 1e-9
