@@ -296,3 +296,8 @@ def test_calibration_by_group_of_many_rows(spark):
     for method in ("isotonic", "platt", "beta"):
         r = calibration.by_group(rows, "g", method=method).first()
         assert r.n == n and abs(r.brier_after - np.mean((calibration.calibrated(p, y, method) - y) ** 2)) < 1e-9
+
+
+def test_date_columns_after_nulls(spark):
+    rows = spark.createDataFrame([(None, "x", i) for i in range(30)] + [("2020-01-02", "y", 30)], "born string, note string, n int").coalesce(1)
+    assert privacy.date_columns(rows) == ["born"]
