@@ -112,6 +112,8 @@ def test_topk_with_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(op7_topk, "SHARD", 40)
     monkeypatch.setattr(op7_topk, "TILE", 3)
     monkeypatch.setattr(op7_topk, "FAN_IN", 2)
+    monkeypatch.setattr(op7_topk, "BAND", 3)
+    monkeypatch.setattr(op7_topk, "_STEP", 2)
     rng = np.random.default_rng(0)
     x = rng.integers(-3, 4, (300, 5)) / 4
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -127,13 +129,26 @@ def test_topk_with_many_tiles(spark, monkeypatch):
 
 def test_large_numbers():
     huge = np.array([[2**40, -(2**40)]])
-    out = list(op7_topk._products(2)(iter([_batch(huge)])))[0]
-    assert out.column("score").to_pylist() == [2**63 - 1]
-
-
-def _batch(v):
-    import pyarrow as pa
-
-    block = np.ascontiguousarray(v, "<i8").tobytes()
-    row = {"width": 2, "query_ids": np.array([1], "<i8").tobytes(), "queries": block, "shard": 0, "ids": np.array([2], "<i8").tobytes(), "block": block}
-    return pa.RecordBatch.from_pylist([row])
+    assert op7_topk.products(huge, huge).tolist() == [[2**63 - 1]]
+    assert op7_topk.products(huge, -huge).tolist() == [[-(2**63) + 2]]
+    middle = np.array([[2**30, 3]])
+    assert op7_topk.products(middle, middle).tolist() == [[2**60 + 9]]
+
+
+def test_topk_of_odd_rows(spark, monkeypatch):
+    """Every row but the query's own is a candidate: rows that repeat an id, a query's id and whole rows included; vectors may be empty."""
+    rows = [(3, [1.0]), (3, [5.0]), (100, [1.0]), (100, [2.0]), (100, [2.0]), (200, []), (300, []), (5, []), (0, [0.5, 0.5]), (6, [4.0e18]), (7, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (op7_topk.SHARD, 1):
+        monkeypatch.setattr(op7_topk, "SHARD", shard)
+        w = op7_topk.whole(df)
+        got = {}
+        for r in op7_topk.search(w, w.where("vec_id % 100 = 0"), 3).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        most = 2**63 - 1
+        x = 2**63 - 1024
+        first = [(1, 6, min(most, x * 1024)), (2, 3, 5 * 1024**2), (3, 100, 2 * 1024**2)]
+        second = [(1, 6, min(most, x * 2048)), (2, 3, 10 * 1024**2), (3, 100, 4 * 1024**2)]
+        assert sorted(got[100]) == sorted(first + 2 * second)
+        assert sorted(got[200]) == [(1, 5, 0), (2, 300, 0)] and sorted(got[300]) == [(1, 5, 0), (2, 200, 0)]
+        assert 0 not in got and set(got) == {100, 200, 300}
