@@ -8,6 +8,7 @@ import numpy as np
 from wardline.llm import op4_mixing, op5_urls, op7_topk, tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
 
 
 def brute_targets(sizes):
@@ -88,13 +89,75 @@ def test_urls(spark):
     assert {r.verdict for r in op5_urls.judge(df, rules=()).collect()} == {"allow"}
 
 
-def test_url_model_sums_to_one(spark):
+def test_url_model_signs(spark):
     labelled = spark.createDataFrame([("abca", 1), ("abcb", 1), ("zzz", 0)], "text string, allow int")
     seen = spark.createDataFrame([("^^^a",), ("abca",), ("zzzz",)], "gram string")
     ratio = {r.gram: r.ratio for r in op5_urls.model(labelled, seen).collect()}
     assert ratio["^^^a"] > 0 and ratio["abca"] > 0 and ratio["zzzz"] < 0
 
 
+def brute_urls(urls, calibrates):
+    """Score, threshold and verdict of each url by dictionaries; ``calibrates``: the texts kept for the threshold."""
+
+    def split(u):
+        if u is None or "://" not in u:
+            return "", ""
+        rest = u.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return host.translate(LOWER), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    def rule(u):
+        host, path = split(u)
+        fit = [(len(h + p), kind) for kind, h, p in op5_urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1] if fit else None
+
+    texts = [re.sub("[^a-z0-9./:?#=&%_-]", "~", (u or "").translate(LOWER)) for u in urls]
+    decided = [rule(u) for u in urls]
+    known = {(t, d) for t, d in zip(texts, decided) if d}
+    counts = {}
+    for t, d in known:
+        if t not in calibrates:
+            padded = "^^^" + t
+            for i in range(3, len(padded)):
+                for k in range(4):
+                    counts[d, padded[i - k : i + 1]] = counts.get((d, padded[i - k : i + 1]), 0) + 1
+                    counts[d, "after", padded[i - k : i]] = counts.get((d, "after", padded[i - k : i]), 0) + 1
+
+    def log_p(d, gram):
+        p = (counts.get((d, gram[3:]), 0) + 1) / (counts.get((d, "after", ""), 0) + 47)
+        for k in (1, 2, 3):
+            p = (counts.get((d, gram[3 - k :]), 0) + 4 * p) / (counts.get((d, "after", gram[3 - k : 3]), 0) + 4)
+        return math.log(p)
+
+    def score(t):
+        grams = [("^^^" + t)[i : i + 4] for i in range(len(t))]
+        return sum(log_p("allow", g) - log_p("block", g) for g in grams) / len(t) if t else 0.0
+
+    held = {d: [score(t) for t, e in known if e == d and t in calibrates] for d in ("allow", "block")}
+    cut = 0.0
+    if held["allow"] and held["block"]:
+        (m0, s0), (m1, s1) = ((np.mean(x), (np.std(x, ddof=1) if len(x) > 1 else 0) + 1e-9) for x in (held["block"], held["allow"]))
+        cut = (m0 * s1 + m1 * s0) / (s0 + s1)
+    return [(d, score(t), cut) for t, d in zip(texts, decided)]
+
+
+def test_urls_against_dictionaries(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    long = "http://long.example.com/" + "path/x-1/" * 3000
+    extra = [None, "", "no scheme casino", "http://q.com/?casino=viagra", "http://q.com/", "HTTP://Q.com/\u00e9\u65e5 ~", "x", long, "http://a.net/x", "http://a.net/x", "http://b.org/fr/1", "HTTP://B.org/fr/1#x"]
+    rows = [(r.page_id, r.url, "y") for r in pages.collect()] + [(1_000_000 + i, u, "y") for i, u in enumerate(extra)]
+    df = spark.createDataFrame(rows, "page_id long, url string, score string")
+    texts = df.select(op5_urls._plain(df.url).alias("t"))
+    apart = {r.t for r in texts.where(op5_urls.calibrates(texts.t)).collect()}
+    got = {r.page_id: r for r in op5_urls.judge(df).collect()}
+    assert len(got) == len(rows)
+    for (i, u, _), (decided, score, cut) in zip(rows, brute_urls([u for _, u, _ in rows], apart)):
+        assert math.isclose(got[i].score, score, abs_tol=2e-6) and math.isclose(got[i].threshold, cut, abs_tol=2e-6)
+        if decided or abs(score - cut) > 1e-5:
+            assert got[i].verdict == (decided or ("allow" if score >= cut else "block"))
+    assert got[1_000_003].score != got[1_000_004].score and got[1_000_002].score != 0
+
+
 def test_topk(vectors, spark):
     w = op7_topk.whole(vectors)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in op7_topk.search(w, w.where("vec_id % 100 = 0")).collect()}

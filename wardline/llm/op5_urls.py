@@ -1,9 +1,11 @@
 """URL filter: host and path rules, and for the rest a likelihood ratio of two character models; DataFrame operations only.
 
 The models are variable-order Markov models of up to three characters of context, one of the URLs that rules allow and
-one of those they block. A context's counts are smoothed by those of the context one shorter (Dirichlet, down to
-uniform). Their log-likelihood difference for a URL, divided by its length, is compared with a threshold calibrated on
-the URLs that rules decide. Characters outside a-z, 0-9 and "./-" count as one, so that the model has at most 40**4 entries.
+one of those they block. They read the whole URL, scheme, query and fragment included. A context's counts are smoothed by
+those of the context one shorter (Dirichlet, down to uniform). Their log-likelihood difference for a URL, divided by its
+length, is compared with a threshold. A fifth of the distinct URLs that rules decide, dealt by hash, is kept out of the models, and
+the threshold is calibrated on that fifth alone. Characters outside a-z, 0-9 and "./-:?#=&%_" count as one, so that the model has
+at most 47**4 entries.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from .tables import checkpointed, lowered
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 3
-_LETTERS = 40
+_LETTERS = 47
 _STRENGTH = 4.0
 _UNIT = float(1 << 20)
+#: One part in so many of the ruled URLs calibrates the threshold and teaches nothing.
+FOLDS = 5
 #: Entries of the model up to which it is broadcast (about 60 bytes each).
 BROADCAST = 200_000
 
@@ -39,7 +43,12 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _plain(text: Column) -> Column:
-    return F.regexp_replace(lowered(text), r"[^a-z0-9./-]", "_")
+    return F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), r"[^a-z0-9./:?#=&%_-]", "~")
+
+
+def calibrates(text: Column) -> Column:
+    """Whether a ruled URL is kept for the threshold."""
+    return F.pmod(F.xxhash64(F.lit("cut"), text), F.lit(FOLDS)) == 0
 
 
 def _grams(texts: DataFrame) -> DataFrame:
@@ -83,26 +92,34 @@ def scored(texts: DataFrame, labelled: DataFrame) -> DataFrame:
     return sums.select("text", (F.col("ratio") / _UNIT / F.length("text")).alias("score"))
 
 
+def threshold(held_out: DataFrame) -> float:
+    """``held_out``: allow (0 or 1) and score of URLs that the models haven't seen. Where the two groups' means are equally many of
+    their standard deviations away; 0, at which both models are equally likely, if a group is empty."""
+    known = held_out.groupBy("allow").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("spread"))
+    fit = {r["allow"]: (r["mean"], r["spread"] + 1e-9) for r in known.collect()}
+    if len(fit) < 2:
+        return 0.0
+    (m0, s0), (m1, s1) = fit[0], fit[1]
+    # Rounded, as sums of doubles in another order differ in their last digits.
+    return round((m0 * s1 + m1 * s0) / (s0 + s1), 9)
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score and threshold of every row of ``pages``.
 
-    A null url or one without ``://`` has an empty host and path, fits no rule and scores 0. Repeated rows are each
-    judged; ids may be null. If rules allow or block nothing, the models are uniform and the threshold 0. An empty table
-    gives an empty result.
+    A null url or one without ``://`` has an empty host and path and fits no rule; the models read its characters all the same. A
+    null or empty url has none and scores 0. A score equal to the threshold is allowed. Texts of any length are read whole.
+    Repeated rows are each judged, and teach once; ids may be null; further columns are ignored, whatever their names. If
+    rules allow or block nothing, or leave nothing for the threshold, that is 0. An empty table gives an empty result.
     """
     host, path = parts(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), _plain(F.col("url")).alias("text"))
     rule, decided = ruled(F.col("host"), F.col("path"), rules)
-    rows = checkpointed(split.select("*", rule.alias("rule"), decided.alias("decided"), _plain(F.concat("host", "path")).alias("text")))
-    texts = rows.groupBy("text").agg(F.max((F.col("decided") == "allow").cast("int")).alias("allow"))
-    texts = checkpointed(texts)
-    scores = checkpointed(scored(texts.select("text"), texts.where("allow IS NOT NULL")))
-    known = scores.join(texts.where("allow IS NOT NULL"), "text").groupBy("allow").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("spread"))
-    fit = {r["allow"]: (r["mean"], r["spread"] + 1e-9) for r in known.collect()}
-    cut = 0.0
-    if len(fit) == 2:
-        (m0, s0), (m1, s1) = fit[0], fit[1]
-        cut = (m0 * s1 + m1 * s0) / (s0 + s1)
+    rows = checkpointed(split.select("*", rule.alias("rule"), decided.alias("decided")))
+    known = rows.where("decided IS NOT NULL").select("text", (F.col("decided") == "allow").cast("int").alias("allow")).distinct()
+    known = checkpointed(known.withColumn("apart", calibrates(F.col("text"))))
+    scores = checkpointed(scored(rows.select("text").distinct(), known.where(~F.col("apart"))))
+    cut = threshold(known.where("apart").join(scores, "text"))
     score = F.coalesce("score", F.lit(0.0))
     verdict = F.coalesce("decided", F.when(score >= cut, "allow").otherwise("block"))
     return rows.join(scores, "text", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"), F.lit(cut).alias("threshold"))
