@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute
 import tiktoken
 
-from wardline.llm import op1_hpylm, op2_bpe, op3_toxicity, op6_quality
+from wardline.llm import op1_hpylm, op2_bpe, op3_toxicity, op6_quality, tables
 from wardline.llm.words import Words, pack, pack_sorted, unpack, unpack_sorted
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,3 +203,21 @@ def test_samples_stay_bounded(spark):
     one = docs.groupBy("doc_id").agg({"text": "min"}).toDF("doc_id", "text")
     assert op6_quality.fit(docs, labels).unseen == op6_quality.fit(one, labels).unseen
     assert (op3_toxicity.fit(docs, labels).scale == op3_toxicity.fit(one, labels).scale).all()
+
+
+def test_windows_of_long_texts(spark):
+    text = "".join(chr(97 + i % 26) for i in range(2503))
+    rows = spark.createDataFrame([(0, text), (1, "short"), (2, None)], "i int, t string")
+    got = {r.i: r.w for r in rows.select("i", tables.windows(rows.t, 5, 100).alias("w")).collect()}
+    assert [len(w) for w in got[0]] == [100] * 5 and got[0][0] == text[:100] and got[0][-1] == text[-100:] and got[0][2] == text[1201:1301]
+    assert got[1] == ["short"] and got[2] == [""]
+
+
+def test_long_texts_teach(spark):
+    """Where every toxic or trusted text is long, the models learn from them all the same."""
+    filler = " ".join(f"plain{i % 97}" for i in range(4000))
+    rows = [(i, (f"{filler} zqvile{i % 3} zqvile{(i + 1) % 3} " * 2 if i % 2 else filler + filler)) for i in range(1, 121)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 121)], "doc_id long, quality int, toxic int")
+    assert op6_quality.fit(docs, labels).unseen < 0.1
+    assert (op3_toxicity.fit(docs, labels).weights != 0).any()

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import fold
+from .tables import fold, windows
 from .words import SPACES, Words, grams, mix
 
-#: The labelled rows that the field is fitted on: at most so many of each label, of texts of at most so many bytes.
+#: The labelled rows that the field is fitted on: at most so many of each label. Of a text of more than WINDOWS times WINDOW characters,
+#: so many windows of that length, spread evenly from its beginning to its end.
 SAMPLE_OF_EACH = 1500
-SAMPLE_BYTES = 10_000
+WINDOWS, WINDOW = 10, 1000
 _PART = 200
 _BITS = 18
 _COLUMN = 256
@@ -178,16 +179,16 @@ def token_labels(x: Tokens, toxic: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, of_each: int = SAMPLE_OF_EACH, most_bytes: int = SAMPLE_BYTES) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, of_each: int = SAMPLE_OF_EACH) -> Field:
     """Fits the field on at most ``of_each`` rows of either label, those of the smallest hashed ids, without the rows whose
-    crc32(doc_id) mod 4 is 2 and texts of over ``most_bytes`` bytes. Of rows that repeat an id, the smallest text counts. Without
+    crc32(doc_id) mod 4 is 2; long texts by their ``windows``. Of rows that repeat an id, the smallest text counts. Without
     toxic rows its scores are near 0."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     ids = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(of_each) for t in (0, 1)]
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-    sample = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic", F.lit(0).alias("one"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = rows.select("doc_id", F.concat_ws(" ", windows(F.col("text"), WINDOWS, WINDOW)).alias("text"), "toxic", F.lit(0).alias("one"))
     share = max(1, n.get(1, 0)) / max(1, n.get(0, 0) + n.get(1, 0))
     # The sample is bounded, so it is fitted in one task, which has more room than the driver.
     fitted = sample.groupBy("one").applyInArrow(_fitted(share), "weights binary, move array<double>, start array<double>, scale array<double>").first()
@@ -241,7 +242,7 @@ def _apply(field: Field, carry: list[str]):
 def tag(docs: DataFrame, field: Field, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``carry``, score (0 to 1) and spans (byte offsets of toxic passages) of every row.
 
-    Null texts count as empty: no evidence, the lowest score. Rows are scored each for itself; only the text is read. An
+    Texts of any length are scored whole. Null texts count as empty: no evidence, the lowest score. Rows are scored each for itself; only the text is read. An
     empty table gives an empty result.
     """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", score double, spans array<struct<start: long, end: long>>"

@@ -35,6 +35,15 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of
 
 
+def windows(text: Column, count: int, each: int) -> Column:
+    """A text (null: empty) in an array, or ``count`` pieces of ``each`` characters spread evenly over a longer one, its end included."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.length(text)
+    start = lambda i: ((n - each).cast("long") * i / (count - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substr(text, start(i), F.lit(each)))
+    return F.when(n <= count * each, F.array(text)).otherwise(pieces)
+
+
 def chunks_of(docs: DataFrame, bytes_each: int) -> int:
     """How many chunks of about ``bytes_each`` the texts of ``docs`` make."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
