@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.frames import require, running_totals
+from wardline.frames import exact_quantiles, require, running_totals
 from wardline.functions import icd, phi
 from wardline.functions.register import register
 from wardline.functions.student import two_sided_p
@@ -244,15 +244,22 @@ def test_monitoring(spark):
 
 
 def test_explanations(spark):
-    rng, base = np.random.default_rng(0), np.random.default_rng(1).random((50, 4))
+    base = np.random.default_rng(1).random((50, 4))
     predict = lambda x: x @ np.array([1.0, 2.0, 0.0, -1.0])
-    x = np.ones(4)
-    v = models.permutation_values(predict, x, base, rng, 400)
-    assert np.allclose(v, (x - base.mean(axis=0)) * [1, 2, 0, -1], atol=0.15)
-    w = models.lime_values(predict, x, base, rng, 2000)  # shrunk by the penalty, in proportion
-    assert np.allclose(w / w[0], [1, 2, 0, -1], atol=0.25)
-    c = models.counterfactuals(lambda z: z[:, 0], np.array([0.4, 0, 0, 0]), base * 3, rng)
-    assert (c[:, 0] >= 0.5).all() and models.attention_values(np.zeros(4)).tolist() == [0.25] * 4
+    x, keys = np.ones((3, 4)), np.array([7, 8, -9])
+    v = models.permutation_values(predict, x, base, keys, 400)
+    assert np.allclose(v, (x - base.mean(axis=0)) * [1, 2, 0, -1], atol=0.15) and not np.allclose(v[0], v[1])
+    assert np.allclose(models.permutation_values(predict, x[1:2], base, keys[1:2], 400), v[1])
+    w = models.lime_values(predict, x, base, keys, 2000)  # shrunk by the penalty, in proportion
+    assert np.allclose(w / w[:, :1], [1, 2, 0, -1], atol=0.25)
+    row, c = models.counterfactuals(lambda z: z[:, 0], np.array([[0.4, 0, 0, 0], [0.45, 0, 0, 0]]), base * 3, keys[:2])
+    assert row.tolist() == [0, 0, 0, 1, 1, 1] and (c[:, 0] >= 0.5).all()
+    rows = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, -3.0)], "k string, u double, v double")
+    got = {(r.key, r.feature): r.value for r in models.explain(rows, ["u", "v"], predict, base, "k", "attention").collect()}
+    assert got == {("a", "u"): 0.5, ("a", "v"): 0.5, ("b", "u"): 0.25, ("b", "v"): 0.75}
+    zero = np.zeros((1, 2))
+    both = models.interactions(rows, ["u", "v"], lambda z: z[:, 0] * z[:, 1] + 5 * z[:, 0], zero, "k").collect()
+    assert {(r.key, r.a, r.b): r.value for r in both} == {("a", "u", "v"): 0.0, ("b", "u", "v"): pytest.approx(-1.5)}
 
     def fails(x):
         if (x < 0).any():
@@ -301,3 +308,121 @@ def test_calibration_by_group_of_many_rows(spark):
 def test_date_columns_after_nulls(spark):
     rows = spark.createDataFrame([(None, "x", i) for i in range(30)] + [("2020-01-02", "y", 30)], "born string, note string, n int").coalesce(1)
     assert privacy.date_columns(rows) == ["born"]
+
+
+def test_exact_quantiles(spark):
+    """Equal to numpy's, in groups below and above the size that is ordered whole, with a value that most rows share."""
+    rng = np.random.default_rng(2)
+    x = {"few": rng.normal(size=7), "many": rng.normal(size=3000), "tied": np.where(rng.random(3000) < 0.8, 1.0, rng.random(3000)), None: np.array([4.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in x.items() for v in vs] + [("empty", None)], "g string, v double")
+    probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for whole in (100, 10_000):
+        got = {r.g: r.q for r in exact_quantiles(df, "v", probabilities, ["g"], whole).collect()}
+        assert set(got) == set(x) and all(np.allclose(got[g], np.quantile(v, probabilities)) for g, v in x.items())
+    assert exact_quantiles(df, "v", [0.5]).first().q == pytest.approx([np.median(np.concatenate(list(x.values())))])
+
+
+def test_split_by_stratum(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 3) for i in range(1000)] + [(5000, 9), (1, 1)], "k long, s int")
+    rows = quality.split(df, "k", 0.3, "s").collect()
+    assert len(rows) == 1002
+    for s, n in ((0, 300), (1, 301), (2, 300), (None, 100)):
+        assert sum(r.part == "test" for r in rows if r.s == s) in range(math.ceil(0.3 * (n - 1)), math.ceil(0.3 * (n - 1)) + 2)
+    assert [r.part for r in rows if r.s == 9] == ["test"] and len({r.part for r in rows if r.k == 1}) == 1
+
+
+def test_codes_by_row(spark):
+    df = spark.createDataFrame([(1, ["i10", "E11.9", "bad code"]), (2, None), (3, ["I10", "I11"])], "i int, codes array<string>")
+    from wardline.operators import icd as encoder
+
+    got = {r.i: r for r in encoder.encode_rows(df, "codes", "count").collect()}
+    assert (got[1].icd_group_hypertension, got[1].icd_group_diabetes, got[2].icd_group_hypertension, got[3].icd_group_hypertension) == (1, 1, 0, 2)
+    one = encoder.encode_rows(spark.createDataFrame([("E11.9",), (None,), ("O99",)], "code string"), level="chapter").collect()
+    assert [r["icd_chapter_E00-E89"] for r in one] == [1, 0, 0] and [r["icd_chapter_O00-O9A"] for r in one] == [0, 0, 1]
+    assert [c for c in encoder.encode_rows(df, "codes", level="category").columns if c.startswith("icd")] == ["icd_category_E11", "icd_category_I10", "icd_category_I11"]
+
+
+def test_notices_and_patients(spark):
+    reads = spark.createDataFrame([("u", "n-1", "t0"), ("w", "n-2", "t0")], "user_id string, notification_id string, read_at string")
+    notices = spark.createDataFrame([("n-1",), ("n-2",), ("n-3",)], "notification_id string")
+    assert stores.unread(notices, reads, "u").first().unread == 2
+    one = stores.mark_read(reads, "u", notices.where("notification_id = 'n-1'"), "t1")
+    assert sorted(map(tuple, one.collect())) == [("u", "n-1", "t1"), ("w", "n-2", "t0")]
+    every = stores.mark_read(one, "u", notices, "t2")
+    assert stores.unread(notices, every, "u").first().unread == 0 and stores.unread(notices, every, "w").first().unread == 2
+    p = spark.createDataFrame([("a", "A", 0.9, None), ("b", "B", 0.2, '["x"]')], "patient_id string, name string, risk_score double, medications string")
+    a = stores.get_patient(p, "a").first()
+    assert (a.id, a.riskBand, a.medications, a.labResults, a.age) == ("a", "high", "[]", "[]", None)
+    assert stores.projected(p).columns == list(stores.BASIC.values()) and stores.get_patient(p, "z").count() == 0
+    again = {r.patient_id: r for r in stores.recomputed(p, spark.createDataFrame([("b", 0.5)], "patient_id string, score double"), "now").collect()}
+    assert (again["b"].risk_score, again["b"].risk_band, again["b"].updated_at) == (0.5, "medium", "now") and again["a"].updated_at is None
+    assert [r.patient_id for r in stores.delete_patients(p, p.where("patient_id = 'a'")).collect()] == ["b"]
+
+
+def test_registered_models_and_checksums(spark, tmp_path):
+    import hashlib
+
+    r = spark.createDataFrame([], "name string, version string, stage string, checksum string, registered_at string, path string")
+    for v, at in (("2", "2024-02"), ("10", "2024-01")):
+        r = stores.register(r, "m", v, "c", "p", at)
+    assert stores.get_version(r, "m").first().version == "2" and stores.get_version(r, "m", "10").first().version == "10" and stores.get_version(r, "x").count() == 0
+    assert [tuple(x) for x in stores.listed(r).collect()] == [("m", ["10", "2"], "2")]
+    (tmp_path / "a.bin").write_bytes(b"one")
+    (tmp_path / "b.bin").write_bytes(b"two")
+    want = [("a.bin", hashlib.sha256(b"one").hexdigest()), ("b.bin", "0"), ("c.bin", "0")]
+    got = stores.verified(spark, str(tmp_path), spark.createDataFrame(want, "file string, sha256 string"))
+    assert {(x.file, x.status) for x in got.collect()} == {("a.bin", "ok"), ("b.bin", "changed"), ("c.bin", "missing")}
+
+
+def test_store_keeps_what_it_cannot_read(spark, tmp_path):
+    store = stores.FeatureStore(spark, str(tmp_path / "f"))
+    store.upsert(spark.createDataFrame([("P1", "2024-01-01T08:00:00", 1.0), ("P2", "2024-01-01T08:00:00", 2.0)], "patient_id string, feature_timestamp string, x double").coalesce(1))
+    (tmp_path / "f" / "feature_date=2024-01-01" / "part-broken.parquet").write_bytes(b"no parquet")
+    assert store.all().count() == 2
+    with pytest.raises(Exception):
+        store.upsert(spark.createDataFrame([("P3", "2024-01-01T08:00:00", 3.0)], "patient_id string, feature_timestamp string, x double"))
+    with pytest.raises(Exception):
+        store.erase("P1")
+    assert store.all().count() == 2
+
+
+def test_pushed_filters_and_reading_by_id():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    reader = rest.FhirSource({"url": "http://x", "types": "Patient,Condition"}).reader(None)
+    rest_ = list(reader.pushFilters([EqualTo(("id",), "7"), In(("resource_type",), ("Patient", "Device")), GreaterThan(("id",), "1")]))
+    assert rest_ == [GreaterThan(("id",), "1")]
+    (part,) = reader.partitions()
+    assert (part.kind, part.ids) == ("Patient", ["7"])
+    asked = []
+
+    def send(request):
+        asked.append(request.full_url)
+        if request.full_url.endswith("/9"):
+            raise urllib.error.HTTPError(request.full_url, 404, "none", {}, None)
+        return io.BytesIO(json.dumps({"resourceType": "Patient", "id": "7"}).encode())
+
+    client = rest.Client({"url": "http://x"}, send)
+    assert client.get("Patient", "7")["id"] == "7" and client.get("Patient", "9") is None and asked[0] == "http://x/Patient/7"
+    reader._client = lambda: client
+    assert [r[:2] for r in reader.read(part)] == [("Patient", "7")]
+    every = rest.FhirSource({"url": "http://x", "patients": "a,b", "mode": "everything"}).reader(None).partitions()
+    assert [p.kind for p in every] == ["Patient/a/$everything", "Patient/b/$everything"]
+
+
+def test_importance_and_dependence(spark):
+    df = spark.range(400).selectExpr("id AS k", "double(id % 20) AS u", "double(id % 7) AS v")
+    score = lambda d: d.withColumn("score", F.col("u") * 2)
+    metric = lambda d: -d.agg(F.avg(F.abs(F.col("score") - 2 * (F.col("k") % 20)))).first()[0]
+    by = dict(models.permutation_importance(df, ["u", "v"], score, metric, "k"))
+    assert by["u"] > 1 and by["v"] == 0
+    assert {r.u: r.mean_score for r in models.partial_dependence(df, "u", [0.0, 3.0], score).collect()} == {0.0: 0.0, 3.0: 6.0}
+
+
+def test_stream_retry_repeats_nothing(spark, tmp_path):
+    synthetic.bundles(spark, 4).write.parquet(str(tmp_path / "in"))
+    stream = streams.read(spark, str(tmp_path / "in"), "bundle_id string, bundle string")
+    for checkpoint in ("c1", "c2"):  # the second start repeats batch 0, as a retry would
+        streams.deidentified(stream, privacy.Deidentification("s"), str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / checkpoint)).awaitTermination()
+        n = spark.read.parquet(str(tmp_path / "out")).count()
+        assert n == spark.read.parquet(str(tmp_path / "out")).dropDuplicates(["resource_type", "patient", "resource"]).count()

@@ -90,12 +90,22 @@ def numeric_outlier_counts(spark, sf):
     return Q.numeric_outlier_counts(table(spark, sf, "part"), ["p_retailprice", "p_size"], 0.2)
 
 
-@add()
+def _outlying(c):
+    return f"(SELECT count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) FROM labs, (SELECT quantile_cont({c}, 0.25)::DOUBLE AS a, quantile_cont({c}, 0.75)::DOUBLE AS b FROM labs))"
+
+
+@add(f"""WITH {GAPS_SQL}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) - count(value) AS gaps, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM labs)) AS twice FROM labs),
+    s AS (SELECT gaps / n AS missing_share, twice / n AS duplicate_share, greatest({_outlying("event_id")}, {_outlying("patient_id")}, {_outlying("value")}) / n AS outlier_share FROM n)
+    SELECT round(missing_share, 6) AS missing_share, round(duplicate_share, 6) AS duplicate_share, round(outlier_share, 6) AS outlier_share, missing_share <= 0.1 AND duplicate_share <= 0.05 AND outlier_share <= 0.1 AS passed FROM s""")
 def data_pipeline_gate(spark, sf):
-    return Q.pipeline_gate(labs(spark, sf, gaps=True))
+    return rounded(Q.pipeline_gate(labs(spark, sf, gaps=True)), "missing_share", "duplicate_share", "outlier_share")
 
 
-@add()
+@add(f"""WITH {ENCOUNTERS_SQL}, q AS (SELECT quantile_cont(expected, 0.25) AS a, quantile_cont(expected, 0.75) AS b FROM enc),
+    c AS (SELECT count(*) FILTER (WHERE expected > 0.5) + CAST(count(*) > count(DISTINCT encounter_id) AS BIGINT) AS schema_errors, CAST(count(*) FILTER (WHERE admission_date > discharge_date) > 0 AS BIGINT) AS broken_relationships,
+      CAST(count(*) FILTER (WHERE mortality = 1 AND NOT expected > 0.2) > 0 AS BIGINT) AS failed_rules, CAST(0 AS INTEGER) AS has_missing, CAST(count(*) FILTER (WHERE expected < a - 1.5 * (b - a) OR expected > b + 1.5 * (b - a)) > 0 AS BIGINT) AS outlying_columns,
+      CAST(count(*) > count(DISTINCT encounter_id) AS INTEGER) AS has_duplicates FROM enc, q)
+    SELECT *, schema_errors + broken_relationships + failed_rules AS errors, has_missing + outlying_columns + has_duplicates AS warnings, schema_errors + broken_relationships + failed_rules = 0 AS valid FROM c""")
 def validation_report(spark, sf):
     return Q.validation_report(encounters(spark, sf), "encounter_id", {"encounter_id": {"type": "integer", "unique": True}, "expected": {"type": "float", "max": 0.5}}, [{"type": "temporal", "start": "admission_date", "end": "discharge_date"}], {"old": ("mortality == 1", "expected > 0.2")}, ["expected"], ["encounter_id"])
 

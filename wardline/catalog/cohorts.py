@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from wardline.catalog.clinical import rounded
 from wardline.catalog.records import resources
-from wardline.frames import Catalog, table
+from wardline.frames import Catalog, shared_folder, table
 from wardline.operators import eda as E
 from wardline.operators import models as M
 from wardline.operators import monitor as O
@@ -235,12 +234,19 @@ def batch_scores(spark, sf):
     return rounded(M.batch_score(_parts(spark, sf), ["size", "price"], _linear).drop("detail"), "score")
 
 
-@add()
+@add("""WITH s AS (SELECT 1 / (1 + pow(2.718281828459045::DOUBLE, -((p_size + p_retailprice / 20) / 40 - 3))) AS s FROM part)
+    SELECT count(*) AS n, CAST(0 AS BIGINT) AS errors, count(*) FILTER (WHERE s >= 0.75) AS high, count(*) FILTER (WHERE s >= 0.4 AND s < 0.75) AS medium, count(*) FILTER (WHERE s < 0.4) AS low, round(avg(s), 6) AS mean_score, round(median(s), 6) AS median_score FROM s""")
 def batch_score_summary(spark, sf):
-    return M.batch_summary(M.batch_score(_parts(spark, sf), ["size", "price"], _linear))
+    return rounded(M.batch_summary(M.batch_score(_parts(spark, sf), ["size", "price"], _linear)), "mean_score", "median_score")
+
+
+@add("""SELECT CAST(p_partkey AS VARCHAR) AS key, CAST(0 AS INTEGER) AS option, feature, round(v / (p_size + p_retailprice / 20), 6) AS value
+    FROM (SELECT *, 'size' AS feature, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT *, 'price', p_retailprice / 20 FROM part)""")
+def explain_attention(spark, sf):
+    return rounded(M.attention(_parts(spark, sf), ["size", "price"], "patient_id"), "value")
 
 
-for _method in ("shap", "lime", "attention", "counterfactual"):
+for _method in ("shap", "lime", "counterfactual"):
 
     def _explained(spark, sf, method=_method):
         rows = _parts(spark, sf)
@@ -287,12 +293,17 @@ def _streamed(spark, sf, make):
     """A streaming query over the events that are there, as a table once it has ended."""
     name = f"stream_{uuid.uuid4().hex}"
     rows = make(streams.read(spark, sf, _EVENTS, "events.parquet"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    query = rows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    query = rows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 
 
+@add("SELECT CAST(day AS TIMESTAMP) AS \"start\", CAST(day + INTERVAL 7 DAY AS TIMESTAMP) AS \"end\", user_id, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT CAST(ts AS DATE) - CAST(i AS INTEGER) AS day, user_id, value FROM events, range(7) r(i)) GROUP BY day, user_id")
+def stream_sliding_weeks(spark, sf):
+    rows = rounded(_streamed(spark, sf, streams.sliding_weeks), "mean")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
 @add("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, user_id, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_means(spark, sf):
     return rounded(_streamed(spark, sf, streams.daily_means), "mean").withColumn("day", F.col("day").cast("timestamp_ntz"))

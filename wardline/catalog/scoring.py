@@ -87,9 +87,10 @@ def regression_metrics(spark, sf):
     return rounded(C.regression_metrics(predictions(spark, sf)), "mse", "rmse", "mae", "r2", at=8)
 
 
-@add()
+@add(f"""{_CURVE}, f AS (SELECT precision, tpr AS recall FROM e ORDER BY e.f1 DESC, threshold DESC LIMIT 1), u AS (SELECT auc FROM ({_auc_sql("")[len("WITH "):].replace("pred AS", "WITH pred AS", 1)}))
+    SELECT auc, round(precision, 8) AS precision, round(recall, 8) AS recall, auc >= 0.7 AND precision >= 0.6 AND recall >= 0.5 AS passed FROM f, u""")
 def model_performance_gate(spark, sf):
-    return C.model_gate(predictions(spark, sf))
+    return rounded(C.model_gate(predictions(spark, sf)), "auc", "precision", "recall", at=8)
 
 
 def _rates_sql(threshold, at=8):
@@ -113,9 +114,10 @@ for _metric in _FOUR:
     add(f"{_P}, r AS (SELECT g, {_rates_sql(0.5, 15)} FROM pred GROUP BY g), d AS (SELECT {_DIFFS} FROM r) SELECT {_metric} FROM d", _metric)(_one)
 
 
-@add()
+@add(f"""{_P}, r AS (SELECT g, {_rates_sql(0.5, 15)}, avg((p - y) * (p - y)) AS brier FROM pred GROUP BY g), d AS (SELECT {_DIFFS}, round(max(brier) - min(brier), 6) AS calibration_disparity FROM r),
+    u AS (SELECT round(max(auc) - min(auc), 6) AS auc_disparity FROM ({_auc_sql("g").replace("8) AS auc", "15) AS auc").replace("sum(pos) * sum(neg)", "nullif(sum(pos) * sum(neg), 0)")})) SELECT * FROM d, u""")
 def fairness_report(spark, sf):
-    return Q.report(predictions(spark, sf), "g")
+    return rounded(Q.report(predictions(spark, sf), "g"), *_FOUR, "calibration_disparity", "auc_disparity")
 
 
 @add(f"{_P}, {_T}, r AS (SELECT threshold, g, {_rates_sql('threshold', 15)} FROM pred, t GROUP BY threshold, g) SELECT threshold, {_DIFFS} FROM r GROUP BY threshold")

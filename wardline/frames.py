@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,52 @@ def running_totals(rows: DataFrame, order: str, columns: list[str], by: list[str
     return run.select(*rows.columns, *((F.sum(c).over(own) + F.col(f"_a_{c}")).alias(f"{c}_upto") for c in columns), *(f"{c}_total" for c in columns))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder that spark.checkpoint.dir names. Where it is unset, a temporary folder of this machine,
+    but only if all tasks run on it; on a cluster they couldn't read it, so that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp()
+    return folder
+
+
+def null_safe(keys: Iterable[str], other: str = "_k_") -> Column:
+    """That all ``keys`` equal those of the same name after ``other``, null being equal to null."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{other}{k}"))
+    return on
+
+
+def exact_quantiles(rows: DataFrame, value: str, probabilities: list[float], by: list[str] = (), whole: int = 10_000) -> DataFrame:
+    """The columns ``by`` and ``q``, the quantiles of ``value`` (linear between neighbours), nulls left out.
+
+    No task holds a group's values: approximate quantiles bracket each wanted place by a thousandth of the rows on either side,
+    values below a bracket are counted, and only the values within one are put in order, equal ones as one with its count. In groups
+    of up to ``whole`` rows a bracket is the whole group.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    wide = [x for p in probabilities for x in (max(0.0, p - 0.001), min(1.0, p + 0.001))]
+    known = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", wide, 10_000).alias("_b")).withColumnsRenamed({k: f"_k_{k}" for k in by})
+    small = F.col("_n") <= whole
+    low = [F.when(small, float("-inf")).otherwise(F.col("_b")[2 * i]) for i in range(len(probabilities))]
+    high = [F.when(small, float("inf")).otherwise(F.col("_b")[2 * i + 1]) for i in range(len(probabilities))]
+    joined = rows.join(known, null_safe(by))
+    under = F.array(*(F.count_if(F.col("_v") < x) for x in low))
+    below = joined.groupBy(*by).agg(F.first("_n").alias("_n"), under.alias("_u")).withColumnsRenamed({k: f"_k_{k}" for k in by})
+    within = F.array_compact(F.array(*(F.when((F.col("_v") >= a) & (F.col("_v") <= b), F.lit(i)) for i, (a, b) in enumerate(zip(low, high)))))
+    cells = joined.select(*by, "_v", F.explode(within).alias("_i")).groupBy(*by, "_i", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = cells.withColumn("_s", upto).join(below, null_safe(by)).withColumn("_s", F.col("_s") + F.get("_u", "_i"))
+    place = F.element_at(F.array(*(F.lit(float(p)) for p in probabilities)), F.col("_i") + 1) * (F.col("_n") - 1)
+    at = lambda rank: F.max(F.when((F.col("_s") - F.col("_c") <= rank) & (rank < F.col("_s")), F.col("_v")))
+    ends = placed.withColumn("_p", place).groupBy(*by, "_i").agg(F.first("_p").alias("_p"), at(F.floor("_p")).alias("_x"), at(F.ceil("_p")).alias("_y"))
+    between = F.when(F.floor("_p") == F.ceil("_p"), F.col("_x")).otherwise((F.ceil("_p") - F.col("_p")) * F.col("_x") + (F.col("_p") - F.floor("_p")) * F.col("_y"))
+    return ends.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", between.alias("q")))), lambda s: s.q).alias("q"))
+
+
 class Catalog:
     """Queries by name, each with its DuckDB equivalent where there is one."""
 

@@ -30,24 +30,27 @@ CHAPTERS = {
     "Z00-Z99": "Factors influencing health status and contact with health services",
 }
 GROUPS = {
-    "hypertension": "I10 I11 I12 I13 I15".split(),
-    "diabetes": "E08 E09 E10 E11 E13".split(),
-    "copd": "J40 J41 J42 J43 J44".split(),
-    "asthma": "J45".split(),
-    "heart_failure": "I50".split(),
-    "ischemic_heart": "I20 I21 I22 I23 I24 I25".split(),
-    "kidney_disease": "N18".split(),
-    "liver_disease": "K70 K71 K72 K73 K74 K75 K76 K77".split(),
-    "cancer": (
-        "C00 C01 C02 C03 C04 C05 C06 C07 C08 C09 C10 C11 C12 C13 C14 C15 C16 C17 C18 C19 C20 C21 C22 C23 C24 C25 C26 C30 C31 C32 C33 C34 "
-        "C37 C38 C39 C40 C41 C43 C44 C45 C46 C47 C48 C49 C50 C51 C52 C53 C54 C55 C56 C57 C58 C60 C61 C62 C63 C64 C65 C66 C67 C68 C69 C70 "
-        "C71 C72 C73 C74 C75 C76 C81 C82 C83 C84 C85 C86 C88 C90 C91 C92 C93 C94 C95 D00 D01 D02 D03 D04 D05 D06 D07 D09"
-    ).split(),
-    "depression": "F32 F33".split(),
-    "dementia": "F01 F02 F03 G30".split(),
-    "stroke": "I60 I61 I62 I63 I65 I66 I67 I69".split(),
-    "obesity": "E66".split(),
-    "substance_abuse": "F10 F11 F12 F13 F14 F15 F16 F17 F18 F19".split(),
+    "hypertension": ["I10", "I11", "I12", "I13", "I15"],
+    "diabetes": ["E08", "E09", "E10", "E11", "E13"],
+    "copd": ["J40", "J41", "J42", "J43", "J44"],
+    "asthma": ["J45"],
+    "heart_failure": ["I50"],
+    "ischemic_heart": ["I20", "I21", "I22", "I23", "I24", "I25"],
+    "kidney_disease": ["N18"],
+    "liver_disease": ["K70", "K71", "K72", "K73", "K74", "K75", "K76", "K77"],
+    "cancer": [
+        "C00", "C01", "C02", "C03", "C04", "C05", "C06", "C07", "C08", "C09", "C10", "C11", "C12", "C13", "C14", "C15",
+        "C16", "C17", "C18", "C19", "C20", "C21", "C22", "C23", "C24", "C25", "C26", "C30", "C31", "C32", "C33", "C34",
+        "C37", "C38", "C39", "C40", "C41", "C43", "C44", "C45", "C46", "C47", "C48", "C49", "C50", "C51", "C52", "C53",
+        "C54", "C55", "C56", "C57", "C58", "C60", "C61", "C62", "C63", "C64", "C65", "C66", "C67", "C68", "C69", "C70",
+        "C71", "C72", "C73", "C74", "C75", "C76", "C81", "C82", "C83", "C84", "C85", "C86", "C88", "C90", "C91", "C92",
+        "C93", "C94", "C95", "D00", "D01", "D02", "D03", "D04", "D05", "D06", "D07", "D09",
+    ],
+    "depression": ["F32", "F33"],
+    "dementia": ["F01", "F02", "F03", "G30"],
+    "stroke": ["I60", "I61", "I62", "I63", "I65", "I66", "I67", "I69"],
+    "obesity": ["E66"],
+    "substance_abuse": ["F10", "F11", "F12", "F13", "F14", "F15", "F16", "F17", "F18", "F19"],
 }
 
 
@@ -66,14 +69,25 @@ def category(code: Column) -> Column:
     return F.rpad(F.substring(F.replace(code, F.lit("."), F.lit("")), 1, 3), 3, "0")
 
 
+def chapter_of(three: Column) -> Column:
+    """The range of the chapter that a category (``category``) is in; null for none. The ranges are in order, so they are found by
+    halves: five comparisons a row."""
+    names = list(CHAPTERS)
+    low = [n.split("-")[0] for n in names]
+    high = [n.split("-")[1].replace("9A", "99") for n in names]
+
+    def half(a: int, b: int) -> Column:
+        if b - a == 1:
+            return F.when((three >= low[a]) & (three <= high[a]), names[a])
+        m = (a + b) // 2
+        return F.when(three < low[m], half(a, m)).otherwise(half(m, b))
+
+    return half(0, len(names))
+
+
 def chapter(code: Column) -> Column:
     """The range of the chapter that a normal code is in; null for none."""
-    c = category(code)
-    out = F.when(F.length(code) == 0, F.lit(None).cast("string"))
-    for name in CHAPTERS:
-        low, high = name.replace("9A", "99").split("-")
-        out = out.when((c >= low) & (c <= high), name)
-    return out
+    return F.when(F.length(code) > 0, chapter_of(category(code)))
 
 
 def valid(code: Column) -> Column:

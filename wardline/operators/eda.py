@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardline.frames import exact_quantiles
+
 AGE_BINS = (18, 35, 50, 65, 80, 100)
 AGE_NAMES = ("18-34", "35-49", "50-64", "65-79", "80+")
 STAY_BINS = (0, 3, 7, 14, 30)
@@ -25,9 +27,9 @@ def binned(x: Column, edges=AGE_BINS, names=AGE_NAMES) -> Column:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles and max by column."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("low"), q.alias("q"), F.max("v").alias("high"))
-    return made.select("column", "n", "mean", "std", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "high")
+    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["column"])
+    made = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return made.join(q, "column", "left").select("column", "n", "mean", "std", "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "high")
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
@@ -48,6 +50,13 @@ def outcome_rates(df: DataFrame, by: str | Column, outcomes: list[str]) -> DataF
     return df.groupBy(key).agg(F.count("*").alias("n"), *((F.avg(o) * 100).alias(o) for o in outcomes))
 
 
+def group_stats(df: DataFrame, by: str, prediction: str, threshold: float = 0.5) -> DataFrame:
+    """Mean prediction, positive rate (to 3 places) and size by group, and the largest difference of positive rates."""
+    rows = df.groupBy(by).agg(F.avg(prediction).alias("_m"), F.avg((F.col(prediction) >= threshold).cast("double")).alias("_r"), F.count("*").alias("n"))
+    spread = rows.agg((F.max("_r") - F.min("_r")).alias("_d"))
+    return rows.crossJoin(F.broadcast(spread)).select(by, F.bround("_m", 3).alias("mean_prediction"), F.bround("_r", 3).alias("positive_rate"), "n", F.bround("_d", 3).alias("disparity"))
+
+
 def melted(df: DataFrame, keys: list[str], values: list[str], names: dict[str, str] | None = None) -> DataFrame:
     """Wide to long: outcome and rate, with other names for the outcomes."""
     long = df.unpivot(keys, values, "outcome", "rate")

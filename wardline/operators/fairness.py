@@ -104,6 +104,15 @@ def reweighted(df: DataFrame, group: str, p: str = "p") -> DataFrame:
     return df.join(m.select(group, scale.alias("_scale")), group, "left").withColumn(p, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p) * F.coalesce("_scale", F.lit(1.0))))).drop("_scale")
 
 
+def reweighting_effect(df: DataFrame, group: str, metric: str = "demographic_parity", p: str = "p", y: str = "y", threshold: float = 0.5) -> DataFrame:
+    """One row: a disparity (demographic_parity, else that of the true positive rates) of the scores as they are, and of those
+    ``reweighted``, which counts as no larger."""
+    name = "demographic_parity" if metric == "demographic_parity" else "equal_opportunity"
+    before = disparities(group_rates(df, group, p, y, threshold)).select(F.col(name).alias("fairness_before"))
+    after = disparities(group_rates(reweighted(df, group, p), group, p, y, threshold)).select(F.col(name).alias("_after"))
+    return before.crossJoin(after).select("fairness_before", F.least("_after", "fairness_before").alias("fairness_after"))
+
+
 def debiased(df: DataFrame, key: str, group: str, seed: int = 0) -> DataFrame:
     """A stand-in for adversarial training: hashed scores, moved half way to their overall mean within each group."""
     raw = df.withColumn("p", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardline.frames import days_between, require
+from wardline.frames import days_between, exact_quantiles, null_safe, require
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def quality_metrics(df: DataFrame, by: list[str] = (), least: int = 1, c: Encoun
     rows = with_gaps(with_los(df, c), by, c).withColumn("_one", F.row_number().over(Window.partitionBy(*by, c.patient).orderBy(c.admission)))
     rows = rows.withColumn("_last", F.col("next_gap").isNull())
     counted = F.sum(F.when(F.col("_last") & (F.col("_one") > 1), 0).otherwise(1))
-    parts = [F.count("*").alias("n"), F.avg("los").alias("mean_los"), F.median("los").alias("median_los"), F.stddev_samp("los").alias("std_los")]
+    parts = [F.count("*").alias("n"), F.avg("los").alias("mean_los"), F.stddev_samp("los").alias("std_los")]
     for days in (30, 7):
         parts.append(F.try_divide(F.count_if(within("next_gap", days)).cast("double"), counted.cast("double")).alias(f"readmission_rate_{days}d"))
     if c.expected_los in df.columns:
@@ -141,4 +141,6 @@ def quality_metrics(df: DataFrame, by: list[str] = (), least: int = 1, c: Encoun
             parts += [_ratio(F.avg(c.mortality), F.avg(c.expected)).alias("mortality_index"), _ratio(F.sum(c.mortality).cast("double"), F.sum(c.expected).cast("double")).alias("smr")]
     if c.complication in df.columns and dict(df.dtypes)[c.complication] != "string":
         parts.append(F.avg(c.complication).alias("complication_rate"))
-    return rows.groupBy(*by).agg(*parts).where(F.col("n") >= least)
+    made = rows.groupBy(*by).agg(*parts).where(F.col("n") >= least)
+    medians = exact_quantiles(rows, "los", [0.5], by).select(*(F.col(k).alias(f"_k_{k}") for k in by), F.col("q")[0].alias("median_los"))
+    return made.join(medians, null_safe(by), "left").drop(*(f"_k_{k}" for k in by))

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.frames import running_totals
+from wardline.frames import exact_quantiles, running_totals
 
 Predict = Callable[[np.ndarray], np.ndarray]
 MODELS = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier, "factorization": FMClassifier}
@@ -72,10 +72,15 @@ def batch_score(df: DataFrame, features: list[str], predict: Predict, key: str =
     return df.select(key, *features).mapInPandas(run, "key string, score double, status string, detail string")
 
 
+def _median(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row, null without values."""
+    return exact_quantiles(df, column, [0.5]).agg(F.max(F.col("q")[0]).alias(name))
+
+
 def batch_summary(results: DataFrame, high: float = 0.75, medium: float = 0.40) -> DataFrame:
     """Scored, failed, patients by risk band, mean and median score."""
     s = F.col("score")
-    return results.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(s >= high).alias("high"), F.count_if((s >= medium) & (s < high)).alias("medium"), F.count_if(s < medium).alias("low"), F.avg("score").alias("mean_score"), F.median("score").alias("median_score"))
+    return results.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(s >= high).alias("high"), F.count_if((s >= medium) & (s < high)).alias("medium"), F.count_if(s < medium).alias("low"), F.avg("score").alias("mean_score")).crossJoin(_median(results, "score", "median_score"))
 
 
 def cox(df: DataFrame, time: str, event: str, features: list[str], rounds: int = 8) -> dict[str, float]:
@@ -115,72 +120,137 @@ def background(df: DataFrame, features: list[str], key: str, n: int = BACKGROUND
     return np.array([list(r) for r in rows], float).reshape(-1, len(features))
 
 
-def _rng(key: str, seed: int) -> np.random.Generator:
-    return np.random.default_rng([seed, *key.encode()])
+def _uniform(keys: np.ndarray, *shape: int) -> np.ndarray:
+    """Numbers from 0 to 1 for each row, drawn from its key alone, so that they don't depend on how rows are batched."""
+    n = int(np.prod(shape))
+    x = keys.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)).reshape(len(keys), *shape)
 
 
-def permutation_values(predict: Predict, x: np.ndarray, base: np.ndarray, rng, rounds: int = 10, legacy: bool = False) -> np.ndarray:
-    """Mean contributions over random orders of the features, from a background row to ``x``; they sum to the difference of
-    the scores. ``legacy``: each feature gets the difference of its prefix to the background itself."""
-    total = np.zeros(len(x))
-    for _ in range(rounds):
-        order, start = rng.permutation(len(x)), base[rng.integers(len(base))]
-        steps = np.tile(start, (len(x) + 1, 1))
-        for i, f in enumerate(order):
-            steps[i + 1 :, f] = x[f]
-        y = np.asarray(predict(steps), float)
-        total[order] += (y[1:] - y[0]) if legacy else np.diff(y)
-    return total / rounds
+def _normal(keys: np.ndarray, *shape: int) -> np.ndarray:
+    u = _uniform(keys, 2, *shape)
+    return np.sqrt(-2 * np.log1p(-u[:, 0])) * np.cos(2 * np.pi * u[:, 1])
+
+
+def _predicted(predict: Predict, x: np.ndarray) -> np.ndarray:
+    """Scores of an array of any shape whose last axis is the features."""
+    return np.asarray(predict(x.reshape(-1, x.shape[-1])), float).reshape(x.shape[:-1])
+
+
+def permutation_values(predict: Predict, x: np.ndarray, base: np.ndarray, keys: np.ndarray, rounds: int = 10, legacy: bool = False) -> np.ndarray:
+    """Of each row of ``x``, the mean contributions over random orders of the features, from a background row to it; they sum to the
+    difference of the scores. ``legacy``: each feature gets the difference of its prefix to the background itself."""
+    n, d = x.shape
+    u = _uniform(keys, rounds, d + 1)
+    place = np.argsort(np.argsort(u[:, :, :d], axis=2), axis=2)
+    start = base[(u[:, :, d] * len(base)).astype(int)]
+    steps = np.where(place[:, :, None, :] < np.arange(d + 1)[None, None, :, None], x[:, None, None, :], start[:, :, None, :])
+    y = _predicted(predict, steps)
+    gain = y[:, :, 1:] - y[:, :, :1] if legacy else np.diff(y, axis=2)
+    return np.take_along_axis(gain, place, axis=2).mean(axis=1)
 
 
-def lime_values(predict: Predict, x: np.ndarray, base: np.ndarray, rng, n: int = 200) -> np.ndarray:
-    """Coefficients of a ridge fit to scores around ``x``, near ones weighing more."""
+def lime_values(predict: Predict, x: np.ndarray, base: np.ndarray, keys: np.ndarray, draws: int = 200) -> np.ndarray:
+    """Coefficients of a ridge fit to scores around each row of ``x``, near ones weighing more."""
+    n, d = x.shape
     spread = base.std(axis=0) + 1e-12
-    near = x + rng.normal(0, 0.1, (n, len(x))) * spread
-    d = np.sqrt((((near - x) / spread) ** 2).sum(axis=1))
-    w = np.exp(-np.square(d / max(np.percentile(d, 75), 1e-12)))
-    y = np.asarray(predict(near), float)
-    m, c = np.average(near, axis=0, weights=w), np.average(y, weights=w)
-    a = (near - m) * w[:, None]
-    return np.linalg.solve(a.T @ (near - m) + np.eye(len(x)), a.T @ (y - c))
+    near = x[:, None] + 0.1 * _normal(keys, draws, d) * spread
+    far = np.sqrt((((near - x[:, None]) / spread) ** 2).sum(axis=2))
+    w = np.exp(-np.square(far / np.maximum(np.percentile(far, 75, axis=1, keepdims=True), 1e-12)))
+    y = _predicted(predict, near)
+    total = w.sum(axis=1)
+    near = near - (np.einsum("nk,nkd->nd", w, near) / total[:, None])[:, None]
+    y = y - ((w * y).sum(axis=1) / total)[:, None]
+    a = near * w[:, :, None]
+    return np.linalg.solve(np.einsum("nkd,nke->nde", a, near) + np.eye(d), np.einsum("nkd,nk->nd", a, y)[:, :, None])[:, :, 0]
 
 
-def attention_values(x: np.ndarray) -> np.ndarray:
-    s = np.abs(x).sum()
-    return np.abs(x) / s if s > 0 else np.full(len(x), 1 / len(x))
+def counterfactuals(predict: Predict, x: np.ndarray, base: np.ndarray, keys: np.ndarray, n: int = 3, draws: int = 500, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest (L1) ``n`` of the first 3 n random changes of each row that put its score on the other side of the threshold: the
+    rows' positions, and the changed rows, the nearest first."""
+    near = x[:, None] + 0.5 * _normal(keys, draws, x.shape[1]) * (base.std(axis=0) + 1e-12)
+    flips = (_predicted(predict, near) >= threshold) != (_predicted(predict, x) >= threshold)[:, None]
+    flips &= np.cumsum(flips, axis=1) <= 3 * n
+    far = np.where(flips, np.abs(near - x[:, None]).sum(axis=2), np.inf)
+    order = np.argsort(far, axis=1, kind="stable")[:, :n]
+    row, place = np.nonzero(np.isfinite(np.take_along_axis(far, order, axis=1)))
+    return row, near[row, order[row, place]]
 
 
-def counterfactuals(predict: Predict, x: np.ndarray, base: np.ndarray, rng, n: int = 3, draws: int = 500, threshold: float = 0.5) -> np.ndarray:
-    """The nearest (L1) of random changes that put the score on the other side of the threshold."""
-    near = x + rng.normal(0, 0.5, (draws, len(x))) * (base.std(axis=0) + 1e-12)
-    flips = near[(np.asarray(predict(near)) >= threshold) != (predict(x[None])[0] >= threshold)][: 3 * n]
-    return flips[np.argsort(np.abs(flips - x).sum(axis=1), kind="stable")][:n]
+#: Numbers that a block of rows hands to ``predict`` at most, and how many a row takes, by method.
+_BLOCK = 1 << 21
+_DRAWS = {"shap": 11, "lime": 200, "counterfactual": 500}
+
+
+def _explained(method: str, predict: Predict, x: np.ndarray, base: np.ndarray, keys: np.ndarray, legacy: bool) -> tuple[np.ndarray, np.ndarray]:
+    if method == "counterfactual":
+        return counterfactuals(predict, x, base, keys)
+    values = permutation_values(predict, x, base, keys, legacy=legacy) if method == "shap" else lime_values(predict, x, base, keys)
+    return np.arange(len(x)), values
 
 
 def explain(df: DataFrame, features: list[str], predict: Predict, base: np.ndarray, key: str, method: str = "shap", seed: int = 0, legacy: bool = False) -> DataFrame:
-    """Long explanations: key, feature, value; shap, lime, attention, or counterfactual (with ``option``, one for each change)."""
-
-    def values(k: str, x: np.ndarray) -> list[np.ndarray]:
-        rng = _rng(k, seed)
-        if method == "shap":
-            return [permutation_values(predict, x, base, rng, legacy=legacy)]
-        if method == "lime":
-            return [lime_values(predict, x, base, rng)]
-        if method == "attention":
-            return [attention_values(x)]
-        if method == "counterfactual":
-            return list(counterfactuals(predict, x, base, rng))
+    """Long explanations: key, feature, value; shap, lime, attention, or counterfactual (with ``option``, one for each change).
+
+    ``predict`` is called once for a block of rows. Attention, each value's share of the row's absolute values, needs no Python.
+    """
+    if method == "attention":
+        return attention(df, features, key)
+    if method not in _DRAWS:
         raise ValueError(f"unknown method {method!r}")
+    size = max(1, _BLOCK // (_DRAWS[method] * len(features) * (len(features) + 1 if method == "shap" else 1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for i in range(0, len(part), size):
+                some = part.iloc[i : i + size]
+                row, values = _explained(method, predict, some[features].to_numpy(float), base, some["_draw"].to_numpy(np.int64), legacy)
+                option = np.arange(len(row)) - np.searchsorted(row, row)
+                names = some[key].astype(str).to_numpy()[row]
+                yield pd.DataFrame({"key": np.repeat(names, len(features)), "option": np.repeat(option, len(features)), "feature": np.tile(features, len(row)), "value": values.ravel()})
+
+    draw = F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("_draw")
+    return df.select(key, *features, draw).mapInPandas(run, "key string, option int, feature string, value double")
+
+
+def attention(df: DataFrame, features: list[str], key: str) -> DataFrame:
+    """Each value's share of the row's absolute values, all equal in a row of zeros."""
+    size = F.array(*(F.abs(F.col(f).cast("double")) for f in features))
+    rows = df.select(F.col(key).cast("string").alias("key"), size.alias("_x")).withColumn("_s", F.aggregate("_x", F.lit(0.0), lambda a, x: a + x))
+    share = lambda i: F.when(F.col("_s") > 0, F.col("_x")[i] / F.col("_s")).otherwise(1 / len(features))
+    return rows.select("key", F.inline(F.array(*(F.struct(F.lit(0).alias("option"), F.lit(f).alias("feature"), share(i).alias("value")) for i, f in enumerate(features)))))
+
+
+def interactions(df: DataFrame, features: list[str], predict: Predict, base: np.ndarray, key: str, seed: int = 0, rounds: int = 10) -> DataFrame:
+    """How much each two features do together beyond what they do apart: key, a, b, value. For random orders of the features and
+    background rows, the score with both set to the row's values, less that with either alone, plus that with neither, after the features
+    that come before both; half of the mean, so that a and b share it."""
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    size = max(1, _BLOCK // (4 * rounds * max(1, len(pairs)) * len(features)))
+
+    def values(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        n, d = x.shape
+        u = _uniform(keys, rounds, d + 1)
+        start, out = base[(u[:, :, d] * len(base)).astype(int)], np.zeros((n, len(pairs)))
+        for p, (i, j) in enumerate(pairs):
+            before = u[:, :, :d] < np.minimum(u[:, :, i], u[:, :, j])[:, :, None]
+            with_ = np.repeat(before[:, :, None, :], 4, axis=2)
+            with_[:, :, :, i], with_[:, :, :, j] = np.array([True, True, False, False]), np.array([True, False, True, False])
+            y = _predicted(predict, np.where(with_, x[:, None, None, :], start[:, :, None, :]))
+            out[:, p] = (y[:, :, 0] - y[:, :, 1] - y[:, :, 2] + y[:, :, 3]).mean(axis=1) / 2
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = []
-            for k, x in zip(part[key].astype(str), part[features].to_numpy(float)):
-                for i, v in enumerate(values(k, x)):
-                    rows += [(k, i, f, float(a)) for f, a in zip(features, v)]
-            yield pd.DataFrame(rows, columns=["key", "option", "feature", "value"])
+            for k in range(0, len(part), size):
+                some = part.iloc[k : k + size]
+                v = values(some[features].to_numpy(float), some["_draw"].to_numpy(np.int64))
+                yield pd.DataFrame({"key": np.repeat(some[key].astype(str).to_numpy(), len(pairs)), "a": np.tile([features[i] for i, _ in pairs], len(some)), "b": np.tile([features[j] for _, j in pairs], len(some)), "value": v.ravel()})
 
-    return df.select(key, *features).mapInPandas(run, "key string, option int, feature string, value double")
+    draw = F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("_draw")
+    return df.select(key, *features, draw).mapInPandas(run, "key string, a string, b string, value double")
 
 
 def global_importance(explanations: DataFrame, n: int | None = None) -> DataFrame:

@@ -81,14 +81,31 @@ def period_start(end: Column, period: str) -> Column:
     return {"day": F.date_sub(end, 1), "week": F.date_sub(end, 7), "month": F.add_months(end, -1), "quarter": F.add_months(end, -3), "year": F.add_months(end, -12)}[period]
 
 
-REMEDIES = {"AC": "Review access rights and roles", "AU": "Extend audit logging and its review", "SC": "Encrypt data at rest and in transit", "IR": "Test the incident response plan"}
-
-
-def remedy(control: Column) -> Column:
-    out = F.lit("Review the control with its owner")
-    for part, text in REMEDIES.items():
+# What to do about a control that isn't met, by a part of its id; the first part that fits counts.
+REMEDIES = (
+    ("hipaa-164-308", "Implement administrative safeguards for {} by updating security policies and procedures."),
+    ("hipaa-164-310", "Implement physical safeguards for {} by enhancing facility security controls."),
+    ("hipaa-164-312", "Implement technical safeguards for {} by enhancing system security controls."),
+    ("gdpr-article-5", "Ensure compliance with data processing principles for {} by updating privacy policies."),
+    ("gdpr-article-25", "Implement privacy by design and default for {} by integrating privacy controls into development processes."),
+    ("gdpr-article-30", "Maintain records of processing activities for {} by documenting all data processing operations."),
+    ("gdpr-article-32", "Enhance security of processing for {} by implementing additional technical and organizational measures."),
+    ("gdpr-article-33", "Implement breach notification procedures for {} by establishing clear reporting workflows."),
+    ("hitech-13401", "Implement breach notification procedures for {} by establishing notification templates and workflows."),
+    ("hitech-13402", "Enhance breach reporting mechanisms for {} by establishing clear reporting channels."),
+    ("hitech-13403", "Enhance breach reporting mechanisms for {} by establishing clear reporting channels."),
+    ("hitech-13404", "Update business associate agreements for {} to include breach notification requirements."),
+    ("hitech-13405", "Implement encryption and secure destruction methods for {} to protect PHI."),
+)
+_REVIEW = "Review and update policies and procedures related to {} to ensure compliance."
+
+
+def remedy(control: Column, title: Column) -> Column:
+    """What to do about a control of this id and title."""
+    out = F.lit(_REVIEW)
+    for part, text in reversed(REMEDIES):
         out = F.when(F.contains(control, F.lit(part)), text).otherwise(out)
-    return out
+    return F.replace(out, F.lit("{}"), title)
 
 
 SEVERITY = {"PASS": 0, "UNKNOWN": 1, "WARN": 1, "FAIL": 2, "ERROR": 3}

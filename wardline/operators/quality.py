@@ -9,9 +9,8 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wardline.frames import require
+from wardline.frames import exact_quantiles, null_safe, require, running_totals
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -110,8 +109,7 @@ def outliers(df: DataFrame, columns: list[str], key: str, method: str = "iqr", t
     long = df.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").try_cast("double").alias("value")) for c in columns))).alias("x")).select("key", "x.*")
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     if method == "iqr":
-        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-        stats = long.groupBy("column").agg(q.alias("q")).select("column", (F.col("q")[0] - threshold * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + threshold * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+        stats = exact_quantiles(long, "value", [0.25, 0.75], ["column"]).select("column", (F.col("q")[0] - threshold * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + threshold * (F.col("q")[1] - F.col("q")[0])).alias("high"))
     else:
         stats = long.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).where("s > 0").select("column", (F.col("m") - threshold * F.col("s")).alias("low"), (F.col("m") + threshold * F.col("s")).alias("high"))
     return long.join(F.broadcast(stats), "column").where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).select("key", "column", "value")
@@ -218,8 +216,14 @@ def sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def split(df: DataFrame, key: str, share: float = 0.2, stratum: str | None = None, seed: int = 42) -> DataFrame:
-    """Adds ``part``, train or test, by a hash of the key; with ``stratum``, in exact proportion within each value."""
+    """Adds ``part``, train or test, by a hash of the key; with ``stratum``, in exact proportion within each value, whose
+    rows run in bins of their hash, so that no task holds a whole stratum. Rows that repeat a key go to the same part."""
     if stratum is None:
         return df.withColumn("part", F.when(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000)) < int(share * 10_000), "test").otherwise("train"))
-    place = F.percent_rank().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn("part", F.when(place < share, "test").otherwise("train"))
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    cells = running_totals(hashed.groupBy(stratum, "_h").agg(F.count("*").alias("_c")), "_h", ["_c"], [stratum])
+    before = F.col("_c_total") - F.col("_c_upto")
+    place = F.coalesce(F.try_divide(before.cast("double"), (F.col("_c_total") - 1).cast("double")), F.lit(0.0))
+    test = cells.select(F.col(stratum).alias(f"_k_{stratum}"), F.col("_h").alias("_k__h"), (place < share).alias("_t"))
+    placed = hashed.join(test, null_safe([stratum, "_h"]))
+    return placed.select(*df.columns, F.when(F.col("_t"), "test").otherwise("train").alias("part"))

@@ -21,5 +21,13 @@ def features(resources: DataFrame, lab: str = "creatinine", windows=temporal.WIN
     return people.join(codes, "patient_id", "left").join(labs, "patient_id", "left").fillna(0)
 
 
+def joined(resources: DataFrame) -> DataFrame:
+    """One row for each patient's observation, condition or medication: patients inner-joined with each kind on their id."""
+    people = fhir.patients(resources).select("patient_id", "gender")
+    kinds = {"observation": (fhir.observations, "date"), "condition": (fhir.conditions, "onset_date"), "medication": (fhir.medications, "authored_date")}
+    rows = [people.join(f(resources).select("patient_id", F.lit(k).alias("kind"), F.col(date).alias("date"), "code"), "patient_id") for k, (f, date) in kinds.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def run(resources: DataFrame, path: str, lab: str = "creatinine") -> None:
     features(resources, lab).write.mode("overwrite").parquet(path)

@@ -18,7 +18,7 @@ from base64 import b64encode
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 _RETRY = (429, 500, 502, 503, 504)
 
@@ -96,15 +96,40 @@ class Client:
                     yield e["resource"]
             path = next((x["url"] for x in bundle.get("link", []) if x.get("relation") == "next"), None)
 
+    def get(self, kind: str, id_: str) -> dict | None:
+        """One resource by its id; None if there is none."""
+        try:
+            return self.call("GET", f"{kind}/{urllib.parse.quote(id_, safe='')}") or None
+        except urllib.error.HTTPError as e:
+            if e.code in (404, 410):
+                return None
+            raise
+
 
 class _Part(InputPartition):
-    def __init__(self, kind: str, parameters: dict[str, str]):
-        self.kind, self.parameters = kind, parameters
+    """A search, or with ``ids`` single resources."""
+
+    def __init__(self, kind: str, parameters: dict[str, str], ids: list[str] | None = None):
+        self.kind, self.parameters, self.ids = kind, parameters, ids
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
+        self.kinds: set[str] | None = None
+        self.ids: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]):
+        """Takes over equality and membership of resource_type and id (if spark.sql.python.filterPushdown.enabled): other types aren't
+        asked for, and resources of given ids are read one by one instead of page after page."""
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is None or f.attribute not in (("resource_type",), ("id",)):
+                yield f
+                continue
+            name = "kinds" if f.attribute == ("resource_type",) else "ids"
+            before = getattr(self, name)
+            setattr(self, name, values if before is None else before & values)
 
     def _client(self) -> Client:
         names = ("url", "auth", "user", "password", "token", "tokenUrl", "clientId", "clientSecret", "maxRetries", "retryWait", "timeout")
@@ -112,19 +137,31 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         kinds = [k.strip() for k in self.options.get("types", "Patient").split(",")]
+        if self.options.get("mode") != "everything":
+            kinds = [k for k in kinds if self.kinds is None or k in self.kinds]
         patients = [p.strip() for p in self.options.get("patients", "").split(",") if p.strip()]
+        size = int(self.options.get("patientsperpartition", 50))
+        if self.ids is not None and not patients:
+            ids = sorted(self.ids)
+            return [_Part(k, {}, ids[i : i + size]) for k in kinds for i in range(0, len(ids), size)]
         if not patients:
             return [_Part(k, {}) for k in kinds]
         if self.options.get("mode") == "everything":
             return [_Part(f"Patient/{p}/$everything", {}) for p in patients]
-        size = int(self.options.get("patientsperpartition", 50))
         blocks = [patients[i : i + size] for i in range(0, len(patients), size)]
         return [_Part(k, {"_id" if k == "Patient" else "patient": ",".join(b)}) for k in kinds for b in blocks]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         most = self.options.get("maxcount")
-        for r in self._client().search(partition.kind, partition.parameters, int(most) if most else None, int(self.options.get("pagesize", 100))):
-            yield r.get("resourceType"), r.get("id"), json.dumps(r)
+        client = self._client()
+        if partition.ids is not None:
+            found = filter(None, (client.get(partition.kind, i) for i in partition.ids))
+        else:
+            found = client.search(partition.kind, partition.parameters, int(most) if most else None, int(self.options.get("pagesize", 100)))
+        for r in found:
+            kind, id_ = r.get("resourceType"), r.get("id")
+            if (self.kinds is None or kind in self.kinds) and (self.ids is None or id_ in self.ids):
+                yield kind, id_, json.dumps(r)
 
 
 class FhirSource(DataSource):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardline.frames import require
+from wardline.frames import require, shared_folder
 
 #: Columns of a patient that an update may change.
 UPDATABLE = ("name", "age", "gender", "primary_diagnosis", "risk_score", "length_of_stay", "last_visit", "medications")
@@ -23,9 +23,10 @@ class FeatureStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def all(self) -> DataFrame:
-        """Every partition, columns united by name."""
-        rows = self.spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(self.path)
+    def all(self, strict: bool = False) -> DataFrame:
+        """Every partition, columns united by name. Files that can't be read are left out, or, with ``strict``, an error: what is
+        written back must hold every row."""
+        rows = self.spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", not strict).parquet(self.path)
         return rows.withColumn("feature_date", F.col("feature_date").cast("string"))
 
     def upsert(self, rows: DataFrame) -> None:
@@ -34,19 +35,27 @@ class FeatureStore:
         dated = rows.withColumn("feature_date", F.substring("feature_timestamp", 1, 10))
         new = latest(dated, ["patient_id", "feature_date"], "feature_timestamp")
         try:
-            old = self.all()
+            old = self.all(strict=True)
         except AnalysisException:
+            if self._exists():
+                raise
             return self._write(new)
         touched = old.join(new.select("feature_date").distinct(), "feature_date", "left_semi")
         kept = touched.join(new.select("patient_id", "feature_date"), ["patient_id", "feature_date"], "left_anti")
         self._write(_stable(kept.unionByName(new, allowMissingColumns=True)))
 
+    def _exists(self) -> bool:
+        """Whether any date has been written."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/feature_date=*")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return found is not None and len(found) > 0
+
     def _write(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature_date").parquet(self.path)
 
     def erase(self, patient: str) -> None:
         """Removes a patient from the partitions that hold it."""
-        old = self.all()
+        old = self.all(strict=True)
         dates = [r[0] for r in old.where(F.col("patient_id") == patient).select("feature_date").distinct().collect()]
         if dates:
             touched = _stable(old.where(F.col("feature_date").isin(dates)))
@@ -80,10 +89,7 @@ class FeatureStore:
 
 def _stable(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir: rows are written there before their partition is replaced")
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -184,6 +190,60 @@ def with_read(notices: DataFrame, reads: DataFrame, user: str) -> DataFrame:
     return notices.join(mine, "notification_id", "left").withColumn("read", F.coalesce("_r", F.lit(False))).drop("_r")
 
 
+def mark_read(reads: DataFrame, user: str, notices: DataFrame, now: str) -> DataFrame:
+    """``reads`` (user_id, notification_id, read_at) after a user has read ``notices``, one or all: a second reading replaces the first."""
+    new = notices.select(F.lit(user).alias("user_id"), "notification_id", F.lit(now).alias("read_at")).distinct()
+    mine = (F.col("user_id") == user).alias("_mine")
+    kept = reads.select("user_id", "notification_id", "read_at").join(new.select("notification_id", F.lit(True).alias("_again")), "notification_id", "left")
+    return kept.where(~F.coalesce(mine & F.col("_again"), F.lit(False))).select(new.columns).unionByName(new)
+
+
+def unread(notices: DataFrame, reads: DataFrame, user: str) -> DataFrame:
+    """One row: how many notices the user hasn't read."""
+    return with_read(notices, reads, user).agg(F.count_if(~F.col("read")).alias("unread"))
+
+
+# The names that a patient's columns have outside, of a list's entry and, further, of one patient's full record.
+BASIC = {"patient_id": "id", "mrn": "mrn", "name": "name", "age": "age", "gender": "gender", "primary_diagnosis": "diagnosis", "risk_score": "riskScore", "risk_band": "riskBand", "length_of_stay": "lengthOfStay", "last_visit": "lastVisit"}
+FULL = {"dob": "dob", "phone": "phone", "email": "email", "address": "address", "created_at": "createdAt", "updated_at": "updatedAt"}
+FULL_LISTS = {"lab_results": "labResults", "diagnoses": "diagnoses", "medications": "medications", "risk_factors": "riskFactors", "interventions": "interventions", "timeline": "timeline"}
+
+
+def projected(patients: DataFrame, full: bool = False) -> DataFrame:
+    """Patients as they are shown: an entry of a list or, with ``full``, the whole record, whose lists are JSON text, ``[]`` if unknown.
+    Columns that aren't there are null; the band follows from the score."""
+    have = patients if "risk_band" in patients.columns else patients.withColumn("risk_band", risk_band(F.col("risk_score")))
+    pick = lambda c: F.col(c) if c in have.columns else F.lit(None).cast("string")
+    out = [pick(c).alias(n) for c, n in BASIC.items()]
+    if full:
+        out += [pick(c).alias(n) for c, n in FULL.items()] + [pick("primary_diagnosis").alias("primaryDiagnosis")]
+        out += [F.coalesce(F.nullif(pick(c), F.lit("")), F.lit("[]")).alias(n) for c, n in FULL_LISTS.items()]
+    return have.select(*out)
+
+
+def get_patient(patients: DataFrame, patient) -> DataFrame:
+    """The full record of one patient; the filter on the key reaches the scan."""
+    return projected(patients.where(F.col("patient_id") == patient), full=True)
+
+
+def count_patients(patients: DataFrame) -> DataFrame:
+    return patients.agg(F.count("*").alias("n"))
+
+
+def delete_patients(patients: DataFrame, gone: DataFrame) -> DataFrame:
+    return patients.join(gone.select("patient_id").distinct(), "patient_id", "left_anti").select(patients.columns)
+
+
+def recomputed(patients: DataFrame, scores: DataFrame, now: str) -> DataFrame:
+    """``patients`` with the scores of ``scores`` (patient_id, score), their band, and the time of the change; others stay."""
+    new = scores.select(F.col("patient_id").alias("_k"), F.col("score").alias("_s")).dropDuplicates(["_k"])
+    changed = F.col("_s").isNotNull()
+    rows = patients.join(new, F.col("patient_id") == F.col("_k"), "left")
+    made = {"risk_score": F.coalesce("_s", "risk_score"), "risk_band": risk_band(F.coalesce("_s", "risk_score"))}
+    made["updated_at"] = F.when(changed, F.lit(now)).otherwise(F.col("updated_at") if "updated_at" in patients.columns else F.lit(None).cast("string"))
+    return rows.withColumns(made).drop("_k", "_s")
+
+
 def overlay(table: DataFrame, changes: DataFrame, key: str = "patient_id", columns=UPDATABLE) -> DataFrame:
     """``table`` with the columns that may change taken from ``changes`` where they aren't null, and unknown keys added."""
     use = [c for c in columns if c in table.columns and c in changes.columns]
@@ -221,6 +281,28 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def verified(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """``expected``: file (its path under ``path``) and sha256. Returns file and status: ok, changed, missing, or unregistered."""
+    rows = checksums(spark, path).select("sha256", "path", F.lit(path.rstrip("/") + "/").alias("_root"))
+    found = rows.select(F.expr("substring_index(path, _root, -1)").alias("file"), F.col("sha256").alias("_found"))
+    status = F.when(F.col("_found").isNull(), "missing").when(F.col("sha256").isNull(), "unregistered").when(F.col("_found") == F.col("sha256"), "ok").otherwise("changed")
+    return expected.select("file", "sha256").join(found, "file", "full").select("file", status.alias("status"))
+
+
+def get_version(registry: DataFrame, name: str, version: str | None = "latest") -> DataFrame:
+    """The row of a version; ``latest`` (or none) is the one registered last."""
+    rows = registry.where(F.col("name") == name)
+    if version not in (None, "latest"):
+        return rows.where(F.col("version") == version)
+    return rows.orderBy(F.desc("registered_at"), F.desc("version")).limit(1)
+
+
+def listed(registry: DataFrame) -> DataFrame:
+    """Each model with its versions in order of registration, and which is the latest."""
+    each = registry.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("registered_at", "version"))).alias("_v"))
+    return each.select("name", F.transform("_v", lambda v: v.version).alias("versions"), F.element_at("_v", -1).version.alias("latest"))
+
+
 def versions(registry: DataFrame, name: str, stage: str | None = None) -> DataFrame:
     rows = registry.where((F.col("name") == name) & (F.col("version") != "latest"))
     return (rows.where(F.col("stage") == stage) if stage else rows).orderBy("registered_at", "version")

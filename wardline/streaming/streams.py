@@ -24,12 +24,13 @@ def read(spark: SparkSession, folder: str, schema: str, pattern: str | None = No
 
 def deidentified(bundles: DataFrame, config: Deidentification, path: str, quarantine: str, checkpoint: str):
     """Starts the stream of bundles (bundle_id, bundle): masked resources to ``path``, bundles that can't be masked to
-    ``quarantine`` by their id, never raw."""
+    ``quarantine`` by their id, never raw. Each micro-batch has a folder of its own (batch=number), which a retry replaces, so that
+    a failure between the two writes repeats nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
         rows = deidentify_bundles(batch, config).persist()
-        rows.where("error IS NULL").drop("error").write.mode("append").parquet(path)
-        rows.where("error IS NOT NULL").select("bundle_id", "error").write.mode("append").parquet(quarantine)
+        rows.where("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows.where("error IS NOT NULL").select("bundle_id", "error").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
         rows.unpersist()
 
     return bundles.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
