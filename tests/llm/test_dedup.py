@@ -133,3 +133,68 @@ def test_pivot_recall(spark):
     degrees = close.sum(axis=1)
     assert all(got[i] <= degrees[i] for i in got)
     assert sum(got.values()) >= 0.9 * degrees.sum() > 1000
+
+
+def test_wide_bit_slices():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (30, 2), dtype=np.uint64)
+    left = base[rng.integers(0, 30, 300)]
+    right = base[rng.integers(0, 30, 500)].copy()
+    for row in right:
+        for b in rng.choice(128, rng.integers(0, 50), replace=False):
+            row[b // 64] ^= np.uint64(1 << (int(b) % 64))
+    distance = np.bitwise_count(left[:, None] ^ right[None, :]).sum(axis=2)
+    for radius in (0, 3, 20, 32, 63):
+        pairs = [np.stack(x, axis=1) for x in op10_simhash.near_pairs(left, right, radius)]
+        got = set(map(tuple, np.concatenate(pairs).tolist()))
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(distance <= radius))))
+
+
+def word_sets(text, size=5):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def similar(df, least=0.8):
+    rows = [(r.doc_id, word_sets(r.text)) for r in df.where("doc_id IS NOT NULL").select("doc_id", "text").collect()]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] or rows[i][1] == rows[j][1] or len(rows[i][1] & rows[j][1]) >= least * len(rows[i][1] | rows[j][1]) > 0]
+    return sorted(zip([d for d, _ in rows], brute_components([d for d, _ in rows], close)))
+
+
+def test_similar_documents(odd_docs, no_docs, sample, spark, monkeypatch):
+    for df in (odd_docs, sample):
+        assert sorted(map(tuple, op10_simhash.similar_documents(df).collect())) == similar(df)
+    assert op10_simhash.similar_documents(no_docs).count() == 0
+    # A group of edited copies in several tiles, chains among them, beside texts that share half of their words.
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(150):
+        w = list(words) if i < 110 else [f"v{i % 4}{x}" if k % 2 else x for k, x in enumerate(words)]
+        for at in rng.choice(160, int(rng.integers(0, 4)), replace=False):
+            w[at] = f"x{rng.integers(1000)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = similar(df)
+    for tile in (2048, 16):
+        monkeypatch.setattr(op10_simhash, "TILE", tile)
+        got = sorted(map(tuple, op10_simhash.similar_documents(df).collect()))
+        assert sum(a == b for a, b in zip(got, want)) >= 147 and all(a[1] >= b[1] for a, b in zip(got, want))
+
+
+def test_recall_of_similar_documents(spark):
+    """Pairs of a Jaccard of 0.8 to 0.95 among many others: nearly all are found, none is wrong."""
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for i in range(400):
+        w = [f"a{i}b{k}" for k in range(300)]
+        v = list(w)
+        for at in rng.choice(np.arange(0, 300, 12), int(rng.integers(2, 7)), replace=False):
+            v[at] = f"y{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        a, b = word_sets(rows[-2][1]), word_sets(rows[-1][1])
+        pairs.append(len(a & b) / len(a | b))
+    got = dict(map(tuple, op10_simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert all(got[2 * i + 1] == 2 * i + 1 for i, j in enumerate(pairs) if j < 0.8)
+    found = [got[2 * i + 1] == 2 * i for i, j in enumerate(pairs) if j >= 0.8]
+    assert len(found) > 250 and np.mean(found) >= 0.95

@@ -175,8 +175,14 @@ def _code(path: str, pattern: str, carry: list[str]):
             i, sizes = 0, np.cumsum([len(t) if t else 0 for t in (x.as_py() for x in batch.column("text"))])
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + _TEXT, side="right")))
-                ids = encoder.encode([t or "" for t in batch.column("text").slice(i, j - i).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in carry), pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.binary())], [*carry, "ids", "decoded"])
+                texts = [t or "" for t in batch.column("text").slice(i, j - i).to_pylist()]
+                # Copies of a text often stand side by side; each is encoded once.
+                once = list(dict.fromkeys(texts))
+                ids = encoder.encode(once)
+                of = {t: k for k, t in enumerate(once)}
+                take = pa.array([of[t] for t in texts], pa.int64())
+                both = [pa.array(x, pa.binary()).take(take) for x in (ids, [encoder.decode(x) for x in ids])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in carry), *both], [*carry, "ids", "decoded"])
                 i = j
 
     return code
@@ -185,8 +191,9 @@ def _code(path: str, pattern: str, carry: list[str]):
 def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """The columns of ``carry``, ids (packed little-endian unsigned 32-bit integers) and decoded (their bytes).
 
-    ``path`` is a rank file that every worker can open. Null texts count as empty (no ids). Every row is encoded for
-    itself, whatever its id; an empty table gives an empty result.
+    ``path`` is a rank file that every worker can open. Null texts count as empty (no ids); texts of any length are encoded
+    whole. Every row is encoded for itself, whatever its id; an empty table gives an empty result. Columns that aren't carried are
+    ignored, whatever their names.
     """
     docs = docs.select(*carry, "text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", ids binary, decoded binary"
