@@ -7,13 +7,13 @@ result, and columns beyond those of ``documents`` are left out, whatever their n
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardline.frames import shared_folder
 from wardline.llm import op2_bpe, op3_toxicity, op4_mixing, op9_substrings, op10_simhash
 from wardline.llm.tables import table
 
@@ -28,9 +28,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: floa
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash component. Of rows that share that id, the one of the smallest text (then
-    language, source, length) stays; rows without an id stay."""
-    kept = op10_simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """The document of the smallest id of each group of near copies: texts linked by SimHash whose sets of five words have a Jaccard of
+    0.8 or more, verified. Of rows that share that id, the one of the smallest text (then language, source, length) stays; rows without
+    an id stay."""
+    kept = op10_simhash.similar_documents(docs, shingle=5, least=0.8).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
     with_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS, first.alias("_first")).where("_first = 1").select(*COLUMNS)
     return with_id.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
@@ -67,11 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the cluster's shared folder and read again."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    """All stages over ``documents``, each written as Parquet in the cluster's shared folder and read again. A stage's table is deleted
+    once the next one's is written; the last one's is the result's and stays."""
+    folder, before = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/corpus-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        before = path
     return docs
