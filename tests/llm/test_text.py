@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -71,6 +72,27 @@ def test_hpylm_sums_to_one():
             assert mine.sum() == 6 and math.isclose(p[mine].sum(), 1.0, rel_tol=1e-5)
 
 
+def test_seating_by_enumeration():
+    """Gibbs's mean tables equal those of the exact distribution over all seatings of two small restaurants."""
+    d, theta = 0.8, 1.0
+    c, context, prior = np.array([3, 2, 6, 1, 5, 4]), np.array([0, 0, 0, 0, 1, 1]), np.array([0.3, 0.2, 0.05, 0.1, 0.4, 0.01])
+    ways = {(0, 0): 1.0}
+    for n in range(6):
+        for t in range(1, n + 2):
+            ways[n + 1, t] = ways.get((n, t - 1), 0.0) + (n - d * t) * ways.get((n, t), 0.0)
+    assert all(math.isclose(math.exp(op1_hpylm.stirling(d, 64)[k]), w) for k, w in ways.items() if w)
+    want = np.zeros(len(c))
+    for r in (0, 1):
+        dishes = np.flatnonzero(context == r)
+        total, sums = 0.0, np.zeros(len(dishes))
+        for t in itertools.product(*(range(1, c[i] + 1) for i in dishes)):
+            w = math.prod(theta + d * i for i in range(sum(t))) * math.prod(prior[i] ** k * ways[c[i], k] for i, k in zip(dishes, t))
+            total, sums = total + w, sums + w * np.array(t)
+        want[dishes] = sums / total
+    got = op1_hpylm.gibbs(c, context, prior, d, theta, np.ones(2), 6000, 50, 1)
+    assert np.abs(got - want).max() < 0.04
+
+
 def test_hpylm_levels_are_coupled(spark):
     """Scores don't depend on how texts are dealt into chunks: the root's customers are the contexts' tables, not their chunks."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -3,7 +3,8 @@
 Every word (and one end mark per text) is a customer in the restaurant of the word before it; all those restaurants
 share one parent, the root, whose customers are their tables and whose base measure is uniform over the vocabulary
 and one unknown type. Chunks of texts send their distinct words and word pairs, as packed sorted hashes, to shards;
-a shard sums the counts of its keys, draws the seating of its restaurants by Gibbs sampling, averages the sweeps
+a shard sums the counts of its keys, draws the seating of its restaurants by Gibbs sampling (in each sweep, all customers of a dish are
+removed and seated again given the rest of the restaurant), averages the sweeps
 and answers each chunk in the chunk's own key order. So the traffic is one packed entry for each distinct word or pair
 of a chunk and grows in proportion to the corpus; a frequent word costs one entry per chunk, not one per occurrence.
 
@@ -19,6 +20,8 @@ A context frequent enough to fill a shard is spread over several by word; each c
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,18 +33,20 @@ from .words import Words, mix, pack, pack_sorted, tidy, unpack, unpack_sorted
 _END = np.uint64(0xE4D)
 _PROBE = np.uint64(0xFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
+#: Customers of a dish up to which its tables are drawn by their exact conditional, and dishes drawn at once.
+_EXACT, _ROWS_AT_ONCE = 64, 20_000
 _NAMES = "kind shard chunk head keys counts extra"
 _ROWS = "kind int, shard int, chunk int, head binary, keys binary, counts binary, extra binary"
 _ANSWERS = "kind int, shard int, chunk int, head binary, values binary, extra binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator, t: np.ndarray | None = None, k: int = 1) -> np.ndarray:
     """Tables of dishes with ``c`` customers, seated one by one; ``new`` is the weight of a new table, with the
-    dish's prior in it. Beyond 64 customers, runs that double in length are seated with the weights at their start."""
-    t = (c > 0).astype(np.float64)
-    live = np.flatnonzero(c > 1)
-    k = 1
+    dish's prior in it. Beyond 64 customers, runs that double in length are seated with the weights at their start. ``t``: the tables of
+    the first ``k`` customers."""
+    t = (c > 0).astype(np.float64) if t is None else t.copy()
+    live = np.flatnonzero(c > k)
     while len(live):
         step = 1 if k < 64 else k
         take = np.minimum(step, c[live] - k)
@@ -52,16 +57,54 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) ->
     return t
 
 
+@cache
+def stirling(d: float, most: int) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers of type (-1, -d, 0): in how many ways, by weight, n customers of a dish sit at t
+    tables; row n, column t, up to ``most``."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    n = np.arange(most + 1)
+    for i in range(most):
+        stay = np.where((n >= 1) & (n <= i), out[i] + np.log(np.maximum(i - d * n, 1e-300)), -np.inf)
+        out[i + 1, 1:] = np.logaddexp(out[i, :-1], stay[1:])
+    return out
+
+
+def reseated(c: np.ndarray, t: np.ndarray, rest: np.ndarray, prior: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with ``c`` customers, drawn anew given ``rest``, the tables of the other dishes of the restaurant: all customers of a
+    dish are removed and seated again, by the exact conditional up to ``_EXACT`` of them; the others follow as in ``seat``."""
+    out, ways = np.minimum(c, 1).astype(np.float64), stirling(d, _EXACT)
+    few = np.minimum(c, _EXACT).astype(np.int64)
+    for n in np.unique(few[few > 1]):
+        rows = np.flatnonzero(few == n)
+        for i in range(0, len(rows), _ROWS_AT_ONCE):
+            at = rows[i : i + _ROWS_AT_ONCE]
+            gain = np.log(theta + d * (rest[at, None] + np.arange(n))) + np.log(prior[at, None])
+            w = np.cumsum(gain, axis=1) + ways[n, 1 : n + 1]
+            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (w < rng.random((len(at), 1)) * w[:, -1:]).sum(axis=1)
+    many = np.flatnonzero(c > _EXACT)
+    if len(many):
+        out[many] = seat(c[many], (theta + d * (rest[many] + out[many])) * prior[many], d, rng, out[many], _EXACT)
+    return out
+
+
 def sampled(c, context, prior, d, theta, spread, sweeps, burn, seed):
     """Tables per dish in each of the sweeps after ``burn``. ``context``: the restaurant of each dish, from 0 on;
-    ``spread``: in how many shards each restaurant is."""
+    ``spread``: in how many shards each restaurant is. A sweep takes the dishes in four random parts, each given all others."""
     rng = np.random.default_rng(seed)
     t = (c > 0).astype(np.float64)
+    several = np.flatnonzero(c > 1)
+    total = lambda: np.bincount(context, t, minlength=len(spread)) * spread
+    prior = np.broadcast_to(prior, c.shape)
+    t[several] = seat(c[several], ((theta + d * total()[context]) * prior)[several], d, rng)
     for i in range(sweeps):
-        tables = np.bincount(context, t, minlength=len(spread)) * spread
-        t = seat(c, (theta + d * tables[context]) * prior, d, rng)
+        part = rng.integers(0, 4, len(several))
+        for k in range(4):
+            some = several[part == k]
+            t[some] = reseated(c[some], t[some], total()[context[some]] - t[some], prior[some], d, theta, rng)
         if i >= burn:
-            yield t
+            yield t.copy()
 
 
 def gibbs(c, context, prior, d, theta, spread, sweeps, burn, seed) -> np.ndarray:
@@ -332,11 +375,11 @@ def _heavy(share: float):
     return heavy
 
 
-def score(docs: DataFrame, d: float = 0.8, theta: float = 1.0, root_d: float = 0.6, root_theta: float = 1.0, sweeps: int = 5, burn: int = 2, chunk_bytes: int = 8 << 20, chunks_per_shard: int = 1) -> DataFrame:
+def score(docs: DataFrame, d: float = 0.8, theta: float = 1.0, root_d: float = 0.6, root_theta: float = 1.0, sweeps: int = 10, burn: int = 4, chunk_bytes: int = 8 << 20, chunks_per_shard: int = 1) -> DataFrame:
     """Each text's log10 probability under the model, and under the unigram base.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Texts whose crc32(doc_id) mod 5 is 1
-    are held out of training. Null or empty texts are scored as an end mark alone, a null id hashes as an empty text,
+    are held out of training. Texts of any length are scored whole. Null or empty texts are scored as an end mark alone, a null id hashes as an empty text,
     repeated rows count and are scored each, an empty table gives an empty result, further columns are ignored.
     """
     docs = docs.select("doc_id", "text", fold(F.col("doc_id"), 5).cast("int").alias("fold"))
