@@ -198,3 +198,19 @@ def test_recall_of_similar_documents(spark):
     assert all(got[2 * i + 1] == 2 * i + 1 for i, j in enumerate(pairs) if j < 0.8)
     found = [got[2 * i + 1] == 2 * i for i, j in enumerate(pairs) if j >= 0.8]
     assert len(found) > 250 and np.mean(found) >= 0.95
+
+
+def test_pivot_recall_over_cosines(spark):
+    """Pairs spread evenly over cosines of 0.95 to 1, among as many vectors that link with nothing."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = np.linspace(0.9501, 1, len(x), endpoint=False)[:, None]
+    every = np.concatenate([x, c * x + np.sqrt(1 - c * c) * z, rng.normal(size=(1500, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in op8_pivots.near_duplicates(df).collect()}
+    assert all(got[i] == 0 for i in range(3000, 4500)) and max(got.values()) == 1
+    assert np.mean([got[i] for i in range(1500)]) >= 0.95
