@@ -375,7 +375,7 @@ def _heavy(share: float):
     return heavy
 
 
-def score(docs: DataFrame, d: float = 0.8, theta: float = 1.0, root_d: float = 0.6, root_theta: float = 1.0, sweeps: int = 10, burn: int = 4, chunk_bytes: int = 8 << 20, chunks_per_shard: int = 1) -> DataFrame:
+def score(docs: DataFrame, d: float = 0.8, theta: float = 1.0, root_d: float = 0.6, root_theta: float = 1.0, sweeps: int = 6, burn: int = 2, chunk_bytes: int = 8 << 20, chunks_per_shard: int = 1) -> DataFrame:
     """Each text's log10 probability under the model, and under the unigram base.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Texts whose crc32(doc_id) mod 5 is 1
