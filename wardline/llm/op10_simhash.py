@@ -316,10 +316,14 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int):
         yield a + q[rows], block[rows] * 64 + bits
 
 
-def _first_table(x: np.ndarray, y: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The first table in which the fingerprints of each pair agree."""
-    z = x ^ y
-    return (((z[:, :1] & masks[:, 0]) | (z[:, 1:] & masks[:, 1])) == 0).argmax(axis=1)
+def _not_met(x: np.ndarray, y: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether the fingerprints of each pair agree in none of the tables of ``masks``."""
+    out = np.ones(len(x), bool)
+    for i in range(0, len(x) if len(masks) else 0, 1 << 15):
+        z = x[i : i + (1 << 15)] ^ y[i : i + (1 << 15)]
+        for m in masks:
+            out[i : i + (1 << 15)] &= ((z[:, 0] & m[0]) | (z[:, 1] & m[1])) != 0
+    return out
 
 
 def _met(masks: np.ndarray, radius: int):
@@ -346,7 +350,9 @@ def _met(masks: np.ndarray, radius: int):
                         i, j = left[i], right[j]
                         if within:
                             i, j = i[i < j], j[i < j]
-                        first = _first_table(f[a + i], f[a + j], masks) == t[a]
+                        keep = ~(found[i] & found[j])
+                        i, j = i[keep], j[keep]
+                        first = _not_met(f[a + i], f[a + j], masks[: t[a]])
                         found[i[first]] = found[j[first]] = True
                     out.append(a + np.flatnonzero(found))
             out = np.concatenate(out) if out else np.zeros(0, np.int64)
