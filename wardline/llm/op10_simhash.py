@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 
     Texts that are null or have no words have fingerprint zero and link like any other; texts of fewer words than a
     shingle are one shingle. Rows with a null id are kept, and are no component's id unless all its ids are null
-    (then null). Repeated rows are each returned. An empty table gives an empty result; further columns are ignored.
+    (then null). Repeated rows are each returned. Texts of any length are read whole. A bit set in exactly half of the hashes is 0. An empty
+    table gives an empty result; further columns are ignored, whatever their names.
     """
     each = checkpointed(fingerprints(docs, shingle))
     classes = checkpointed(each.groupBy("bits").agg(F.min("doc_id").alias("doc")))

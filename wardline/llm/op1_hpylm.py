@@ -380,7 +380,7 @@ def score(docs: DataFrame, d: float = 0.8, theta: float = 1.0, root_d: float = 0
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Texts whose crc32(doc_id) mod 5 is 1
     are held out of training. Texts of any length are scored whole. Null or empty texts are scored as an end mark alone, a null id hashes as an empty text,
-    repeated rows count and are scored each, an empty table gives an empty result, further columns are ignored.
+    repeated rows count and are scored each, an empty table gives an empty result, further columns are ignored, whatever their names.
     """
     docs = docs.select("doc_id", "text", fold(F.col("doc_id"), 5).cast("int").alias("fold"))
     n = chunks_of(docs, chunk_bytes)

@@ -243,7 +243,7 @@ def tag(docs: DataFrame, field: Field, carry: tuple[str, ...] = ("doc_id",)) ->
     """The columns of ``carry``, score (0 to 1) and spans (byte offsets of toxic passages) of every row.
 
     Texts of any length are scored whole. Null texts count as empty: no evidence, the lowest score. Rows are scored each for itself; only the text is read. An
-    empty table gives an empty result.
+    empty table gives an empty result; columns that aren't carried are ignored, whatever their names.
     """
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", score double, spans array<struct<start: long, end: long>>"
     columns = list(dict.fromkeys([*carry, "text"]))

@@ -112,7 +112,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     Null texts and texts without words have size 0 and are taken with 0 words. Rows that share a source and an id
     are one document of their joint size and get the same number of copies. A null source comes last, as one source. Draws
-    come from hashes, so that reruns agree. An empty table gives an empty result.
+    come from hashes, so that reruns agree; a last fraction of a half becomes a copy. Texts of any length are counted whole. An empty
+    table gives an empty result; further columns are ignored, whatever their names.
     """
     sized = checkpointed(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     sources = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most))

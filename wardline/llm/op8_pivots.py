@@ -184,7 +184,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, pivots: int | None
     Different vectors are told apart by a 64-bit hash: of 10**9 about 0.03 pairs are expected to be taken for equal. ``pivots``: how many
     reference points, by default from the number of vectors.
     Rows that repeat an id each count as a vector. A null id is no component's id unless all its ids are null. An empty
-    table gives an empty result; further columns are ignored.
+    table gives an empty result; further columns are ignored, whatever their names.
     """
     x = F.transform("embedding", lambda e: e.cast("double") + F.lit(0.0))
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) | ~F.exists(x, lambda e: e != 0)

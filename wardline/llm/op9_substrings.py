@@ -182,8 +182,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), window: int = 1
 
     Columns: doc_id, those of ``carry``, kept (the words left, joined by one space), n_words, n_removed, removed (maximal
     repeats as word offsets), kept_sha256; carried columns of those names are left out. Null texts count as empty: nothing kept. A null id counts as larger than
-    all others. Rows that repeat an id are one document to the rule, each with its own result. An empty table gives
-    an empty result.
+    all others. Rows that repeat an id are one document to the rule, each with its own result. Texts of any length are read whole. An
+    empty table gives an empty result; columns that aren't carried are ignored, whatever their names.
     """
     carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "kept", "n_words", "n_removed", "removed", "kept_sha256"))]
     docs = docs.select(*dict.fromkeys([*carry, "text"]))
