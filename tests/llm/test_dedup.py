@@ -176,8 +176,10 @@ def test_similar_documents(odd_docs, no_docs, sample, spark, monkeypatch):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = similar(df)
-    for tile in (2048, 16):
+    for tile, shingles in ((2048, 4_000_000), (16, 4_000_000), (2048, 2000)):
         monkeypatch.setattr(op10_simhash, "TILE", tile)
+        monkeypatch.setattr(op10_simhash, "_SET_TILE", shingles)
+        monkeypatch.setattr(op10_simhash, "_AT_ONCE", shingles)
         got = sorted(map(tuple, op10_simhash.similar_documents(df).collect()))
         assert sum(a == b for a, b in zip(got, want)) >= 147 and all(a[1] >= b[1] for a, b in zip(got, want))
 

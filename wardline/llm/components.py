@@ -55,13 +55,17 @@ def absorb(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
         label = to[label]
 
 
-def tiled(keyed: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
+def tiled(keyed: DataFrame, keys: list[str], by: str, size: int, weight: str | None = None, most: int = 0) -> DataFrame:
     """Rows of ``keyed`` whose key is not their own alone, ready to be compared within ``group``. A key with more than
-    ``size`` rows is cut into tiles; each pair of tiles is a group, in which ``side`` 0 meets side 1 (in a tile's
-    own group all are of side 0 and meet each other). So no task holds a whole frequent key, and each pair meets once."""
-    many = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    of = F.ceil(F.col("_n") / size).cast("long")
-    rows = keyed.join(many, keys).withColumn("_of", of).withColumn("_i", F.pmod(F.xxhash64(by), F.col("_of")))
+    ``size`` rows, or with more than ``most`` of the column ``weight``, is cut into tiles; each pair of tiles is a group, in which ``side`` 0
+    meets side 1 (in a tile's own group all are of side 0 and meet each other). So no task holds a whole frequent key, and each pair meets
+    once."""
+    of = F.ceil(F.count("*") / size).cast("long")
+    if weight:
+        # Two tiles meet in a group, so each takes half; more tiles than rows would stay empty.
+        of = F.greatest(of, F.when(F.sum(weight) > most, F.least(F.count("*"), F.ceil(2 * F.sum(weight) / most).cast("long"))))
+    many = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), of.alias("_of")).where("_n > 1").drop("_n")
+    rows = keyed.join(many, keys).withColumn("_i", F.pmod(F.xxhash64(by), F.col("_of")))
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1), lambda j: F.struct((F.least("_i", j) * F.col("_of") + F.greatest("_i", j)).alias("pair"), (F.col("_i") > j).cast("int").alias("side")))
     rows = rows.withColumn("_m", F.explode(meets))
-    return rows.select("*", F.xxhash64(*keys, "_m.pair").alias("group"), F.col("_m.side").alias("side")).drop("_n", "_of", "_i", "_m")
+    return rows.select("*", F.xxhash64(*keys, "_m.pair").alias("group"), F.col("_m.side").alias("side")).drop("_of", "_i", "_m")

@@ -195,6 +195,9 @@ _BITS, _RADIUS = 128, 32
 #: Fingerprints that share a key on average, in a table of any size; and the distance up to which nineteen of twenty pairs meet.
 _BUCKET, _MEETS = 256, 24
 _SECOND = np.uint64(0x5851F42D4C957F2D)
+#: Shingles that a task verifies together, beyond which a group is cut into pairs of tiles; cells of a block's rows, and shingles
+#: gathered at once.
+_SET_TILE, _CELLS, _AT_ONCE = 4_000_000, 1 << 25, 1 << 21
 
 
 def _shingles(texts, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -225,9 +228,9 @@ def _by_text(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _wide(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text, two hashes of its set of shingles, and the two halves of its fingerprint: a bit is 1 if set in over half of the
-    distinct shingles."""
+def _wide(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, two hashes of its set of shingles, the two halves of its fingerprint, and the number of distinct shingles: a bit is 1
+    if set in over half of these."""
     h, of, n = _shingles(texts, size)
     both = np.stack([h, mix(h ^ _SECOND)], axis=1)
     sets = _by_text(mix(both * np.uint64(3)), of, n)
@@ -237,7 +240,8 @@ def _wide(texts, size: int) -> tuple[np.ndarray, np.ndarray]:
         bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
         first = np.flatnonzero(np.concatenate([[True], its[1:] != its[:-1]]))
         ones[its[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    return sets, np.packbits(ones * 2 > np.bincount(of, minlength=n)[:, None], axis=1, bitorder="little").view(np.uint64)
+    each = np.bincount(of, minlength=n)
+    return sets, np.packbits(ones * 2 > each[:, None], axis=1, bitorder="little").view(np.uint64), each
 
 
 def _widely(size: int):
@@ -245,9 +249,9 @@ def _widely(size: int):
         for batch in batches:
             for i in range(0, batch.num_rows, _DOCS):
                 part = batch.slice(i, _DOCS)
-                sets, print_ = _wide(part.column("text"), size)
-                columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sets.T, *print_.T)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "s0", "s1", "f0", "f1"])
+                sets, print_, n = _wide(part.column("text"), size)
+                columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*sets.T, *print_.T, n)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "s0", "s1", "f0", "f1", "n"])
 
     return widely
 
@@ -375,7 +379,7 @@ def _sets(size: int):
             for i in range(0, batch.num_rows, _DOCS):
                 part = batch.slice(i, _DOCS)
                 h, of, n = _shingles(part.column("text"), size)
-                _, f = _wide(part.column("text"), size)
+                _, f, _ = _wide(part.column("text"), size)
                 lists = pa.LargeListArray.from_arrays(np.searchsorted(of, np.arange(n + 1)), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in f.T), lists], ["doc", "f0", "f1", "shingles"])
 
@@ -384,34 +388,38 @@ def _sets(size: int):
 
 def _verified(least: float, radius: int):
     """Pairs of a group's documents of a Jaccard of at least ``least`` that span all such pairs within the radius. Pairs that are united
-    already aren't compared, so a group of copies costs about a block of its rows against all."""
+    already aren't compared, so a group of copies costs about a block of its rows against all. Memory is a few times the group's shingles."""
 
     def verified(key, table):
         doc, lists = table.column("doc").to_numpy(), table.column("shingles").combine_chunks()
         f = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1")], axis=1)
         lengths = lists.value_lengths().to_numpy().astype(np.int64)
-        _, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        of = np.repeat(np.arange(len(doc)), lengths)
-        words = int(at.max(initial=0)) // 64 + 1
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        distinct, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        block = int(np.clip(_CELLS // max(1, len(distinct)), 1, 64))
         label, out = np.arange(len(doc)), []
-        for lo in range(0, len(doc), 64):
-            mine = np.zeros((min(64, len(doc) - lo), words * 64), np.uint8)
-            rows = (of >= lo) & (of < lo + 64)
-            mine[of[rows] - lo, at[rows]] = 1
-            for i, j in near_pairs(f[lo : lo + 64], f, radius):
-                keep = (lo + i < j) & (label[lo + i] != label[j])
+        for lo in range(0, len(doc), block):
+            hi = min(len(doc), lo + block)
+            mine = np.zeros((hi - lo, len(distinct)), np.uint8)
+            mine[np.repeat(np.arange(hi - lo), lengths[lo:hi]), at[first[lo] : first[hi]]] = 1
+            for i, j in near_pairs(f[lo:hi], f, radius):
+                # Sets whose sizes differ too much can't be similar.
+                n, m = lengths[lo + i], lengths[j]
+                keep = (lo + i < j) & (label[lo + i] != label[j]) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9)
                 i, j = i[keep], j[keep]
-                # The second document's shingles, gathered from the first's row: how many of them it has.
-                for a in range(0, len(i), 2048):
-                    p, q = i[a : a + 2048], j[a : a + 2048]
+                # The second document's shingles, gathered from the first's row, for so many pairs at once: how many of them it has.
+                part = np.maximum(np.arange(len(j)) // 2048, np.cumsum(lengths[j]) // _AT_ONCE)
+                cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+                for p, q in zip(np.split(i, cuts), np.split(j, cuts)):
                     again = label[lo + p] != label[q]
                     p, q = p[again], q[again]
+                    if not len(q):
+                        continue
                     n = lengths[q]
-                    first = np.concatenate([[0], np.cumsum(lengths)])[q]
-                    place = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(q) else np.zeros(0, np.int64)
-                    both = np.bincount(np.repeat(np.arange(len(q)), n), mine[np.repeat(p, n), at[place]], len(q)) if len(q) else np.zeros(0)
-                    total = lengths[lo + p] + n - both
-                    close = both >= least * total - 1e-9
+                    pair = np.repeat(np.arange(len(q)), n)
+                    place = (first[q] - np.cumsum(n) + n)[pair] + np.arange(len(pair))
+                    both = np.bincount(pair, mine[p[pair], at[place]], len(q))
+                    close = both >= least * (lengths[lo + p] + n - both) - 1e-9
                     label, used = absorb(label, lo + p[close], q[close])
                     out.append(used)
         out = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -431,14 +439,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, rad
     without an id are left out; an empty table gives an empty result; further columns are ignored.
     """
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    each = checkpointed(known.mapInArrow(_widely(shingle), "doc_id long, s0 long, s1 long, f0 long, f1 long"))
-    classes = checkpointed(each.groupBy("s0", "s1").agg(F.min("doc_id").alias("doc"), F.min("f0").alias("f0"), F.min("f1").alias("f1")))
+    each = checkpointed(known.mapInArrow(_widely(shingle), "doc_id long, s0 long, s1 long, f0 long, f1 long, n long"))
+    classes = checkpointed(each.groupBy("s0", "s1").agg(*(F.min(c).alias(d) for c, d in (("doc_id", "doc"), ("f0", "f0"), ("f1", "f1"), ("n", "n")))))
     masks = key_masks(classes.count())
     keyed = classes.select("doc", "f0", "f1").mapInArrow(_keyed(masks), "t int, key long, doc long, f0 long, f1 long")
     groups = tiled(keyed, ["t", "key"], "doc", TILE).select("group", "t", "side", "doc", "f0", "f1")
     # By number, as the comparison of few bytes is long and small partitions would be joined.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = checkpointed(groups.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_met(masks, radius), "group long, doc long"))
+    # Groups of long texts are cut further, so that no task holds more than two tiles' shingles.
+    sizes = classes.groupBy("doc").agg(F.max("n").alias("n"))
+    met = checkpointed(tiled(met.join(sizes, "doc").withColumnRenamed("group", "met"), ["met"], "doc", 2 * TILE, "n", _SET_TILE).select("group", "doc"))
     texts = known.join(met.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc long, f0 long, f1 long, shingles array<long>")
     found = met.join(texts, "doc").repartition(parts, "group").groupBy("group").applyInArrow(_verified(least, radius), "a long, b long")
     roots = components(found).withColumnRenamed("node", "doc")
