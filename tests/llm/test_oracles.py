@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": {"vec_id", "n_links", "component_id", "kept"},
     "op9": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op10": {"doc_id", "fingerprint", "component_id"},
+    "op11": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
 }
 
 

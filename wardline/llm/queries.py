@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op1_hpylm, op2_bpe, op3_toxicity, op4_mixing, op5_urls, op6_quality, op7_topk, op8_pivots, op9_substrings, op10_simhash
+from . import op1_hpylm, op2_bpe, op3_toxicity, op4_mixing, op5_urls, op6_quality, op7_topk, op8_pivots, op9_substrings, op10_simhash, op11_pieces
 from .tables import table
 
 
@@ -49,6 +49,10 @@ def op10_simhash_dedup(spark, sf_dir):
     return op10_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_bpe(spark, sf_dir):
+    return op11_pieces.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES = {
         op8_pivot_dedup,
         op9_substring_dedup,
         op10_simhash_dedup,
+        op11_piece_bpe,
     )
 }
 
