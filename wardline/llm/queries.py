@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op1_hpylm, op2_bpe, op3_toxicity, op4_mixing, op5_urls, op6_quality, op7_topk, op8_pivots, op9_substrings, op10_simhash, op11_pieces
+from . import op1_hpylm, op2_bpe, op3_toxicity, op4_mixing, op5_urls, op6_quality, op7_topk, op8_pivots, op9_substrings, op10_simhash, op11_pieces, op12_merkle, op13_variants
 from .tables import table
 
 
@@ -53,6 +53,14 @@ def op11_piece_bpe(spark, sf_dir):
     return op11_pieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    return op12_merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return op13_variants.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +75,8 @@ QUERIES = {
         op9_substring_dedup,
         op10_simhash_dedup,
         op11_piece_bpe,
+        op12_merkle_manifest,
+        op13_spelling_variants,
     )
 }
 
