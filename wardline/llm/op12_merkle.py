@@ -170,8 +170,9 @@ def _proved(fanout: int, carry: list[str]):
         for i, digest in enumerate(changed):
             if digest is not None:
                 current[i] = np.frombuffer(digest.hex().encode(), np.uint8)
+        folded = block.folded(current)
         top: dict[bytes, str] = {}
-        for node in {r.tobytes() for r in (folded := block.folded(current))}:
+        for node in {r.tobytes() for r in folded}:
             top[node] = reduce(lambda x, ends: sha256(ends[0].encode() + x + ends[1].encode()).hexdigest().encode(), zip(left, right), node).decode()
         text = lambda m: pa.array([r.tobytes().decode() for r in m], pa.string())
         out = [text(block.levels[0]), pa.array([above.column("root")[0].as_py()] * n, pa.string()), pa.array(proofs, pa.string()), pa.array([top[r.tobytes()] for r in folded], pa.string())]
