@@ -77,16 +77,15 @@ def test_documents(odd_docs, no_docs, sample):
 
 
 @pytest.mark.parametrize("fanout, block", [(2, 8), (3, 10), (16, 16), (5, 2)])
-def test_rounds_and_fanouts(spark, monkeypatch, fanout, block):
+def test_rounds_and_fanouts(spark, fanout, block):
     """Several rounds of small blocks, in trees that end within a run, and a table of one language for every tree."""
-    monkeypatch.setattr(op12_merkle, "BLOCK", block)
     r, rows = random.Random(fanout), []
     for lang, n in ((None, 3), ("a", 1), ("b", 129), ("é", 64), ("z", 70), *((f"l{i}", i % 3 + 1) for i in range(9))):
         rows += [(r.randrange(10**6), f"text {r.random()}", lang, None, r.choice([None, 5])) for _ in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
     more = [op12_merkle.F.col(c) + 1 if c == "n_chars" else op12_merkle.F.col(c) for c in FIELDS]
     changed = op12_merkle.F.when(op12_merkle.tampers(op12_merkle.F.col("doc_id")), op12_merkle.leaf(more))
-    assert got(op12_merkle.manifest(df, changed, fanout=fanout)) == brute(df.collect(), fanout)
+    assert got(op12_merkle.manifest(df, changed, fanout=fanout, block=block)) == brute(df.collect(), fanout)
 
 
 def test_any_tampering_shows(odd_docs):

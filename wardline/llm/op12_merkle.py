@@ -84,9 +84,10 @@ def _levels(nodes: np.ndarray, fanout: int, height: int | None) -> list[np.ndarr
     return out
 
 
-def _height(fanout: int) -> int:
+def _height(fanout: int, block: int) -> int:
+    """The levels of a block: as many as keep its leaves within ``block``, one at least."""
     height = 1
-    while fanout ** (height + 1) <= BLOCK:
+    while fanout ** (height + 1) <= block:
         height += 1
     return height
 
@@ -94,10 +95,10 @@ def _height(fanout: int) -> int:
 class _Block:
     """A block's levels, and by level the siblings of its nodes' ancestors."""
 
-    def __init__(self, table: pa.Table, fanout: int):
+    def __init__(self, table: pa.Table, fanout: int, height: int):
         # Within its tree the block ends with one node; it stops early only if that is the tree's root.
-        self.height, total = _height(fanout), table.column("total")[0].as_py()
-        self.levels = _levels(_matrix(table.column("digest")), fanout, self.height if total > fanout**self.height else None)
+        total = table.column("total")[0].as_py()
+        self.levels = _levels(_matrix(table.column("digest")), fanout, height if total > fanout**height else None)
         self.fanout, self.n = fanout, len(self.levels[0])
 
     def above(self, level: int):
@@ -127,22 +128,22 @@ class _Block:
 _NODE, _PATH = "tree string, index long, total long, digest binary", "tree string, index long, left array<string>, right array<string>, root string"
 
 
-def _root(fanout: int):
-    span = fanout ** _height(fanout)
+def _root(fanout: int, height: int):
+    span = fanout**height
 
     def root(table: pa.Table) -> pa.Table:
         table = table.sort_by("index")
-        block, first = _Block(table, fanout), table.slice(0, 1)
+        block, first = _Block(table, fanout, height), table.slice(0, 1)
         index, total = first.column("index")[0].as_py() // span, -(-first.column("total")[0].as_py() // span)
         return pa.table([first.column("tree"), pa.array([index]), pa.array([total]), pa.array([bytes.fromhex(block.levels[-1].tobytes().decode())], pa.binary())], ["tree", "index", "total", "digest"])
 
     return root
 
 
-def _paths(fanout: int):
+def _paths(fanout: int, height: int):
     def paths(table: pa.Table, above: pa.Table) -> pa.Table:
         table = table.sort_by("index")
-        block, n = _Block(table, fanout), table.num_rows
+        block, n = _Block(table, fanout, height), table.num_rows
         left, right = [[] for _ in range(n)], [[] for _ in range(n)]
         for nodes, there, place in block.siblings():
             for i in range(n):
@@ -155,10 +156,10 @@ def _paths(fanout: int):
     return paths
 
 
-def _proved(fanout: int, carry: list[str]):
+def _proved(fanout: int, height: int, carry: list[str]):
     def proved(leaves: pa.Table, above: pa.Table) -> pa.Table:
         leaves = leaves.sort_by("index")
-        block, n = _Block(leaves, fanout), leaves.num_rows
+        block, n = _Block(leaves, fanout, height), leaves.num_rows
         left, right = (above.column(c)[0].as_py() for c in ("left", "right"))
         rest = "".join(a + b for a, b in zip(left, right)).encode()
         parts = list(block.siblings())
@@ -181,54 +182,54 @@ def _proved(fanout: int, carry: list[str]):
     return proved
 
 
-def _blocks(nodes: DataFrame, fanout: int):
-    return nodes.groupBy("tree", F.floor(F.col("index") / fanout ** _height(fanout)).alias("block"))
+def _blocks(nodes: DataFrame, fanout: int, height: int):
+    return nodes.groupBy("tree", F.floor(F.col("index") / fanout**height).alias("block"))
 
 
-def grown(nodes: DataFrame, fanout: int) -> list[DataFrame]:
+def grown(nodes: DataFrame, fanout: int, height: int) -> list[DataFrame]:
     """``nodes``: tree, index, total and digest (binary) of all leaves. Returns them and the block roots of each round; the last are the trees' roots."""
     most = nodes.agg(F.max("total").alias("n")).first().n or 0
     out = [nodes]
     while True:
-        out.append(checkpointed(_blocks(out[-1].select("tree", "index", "total", "digest"), fanout).applyInArrow(_root(fanout), _NODE)))
-        most = -(-most // fanout ** _height(fanout))
+        out.append(checkpointed(_blocks(out[-1].select("tree", "index", "total", "digest"), fanout, height).applyInArrow(_root(fanout, height), _NODE)))
+        most = -(-most // fanout**height)
         if most <= 1:
             return out
 
 
-def routed(rounds: list[DataFrame], fanout: int, roots: DataFrame) -> DataFrame:
+def routed(rounds: list[DataFrame], fanout: int, height: int, roots: DataFrame) -> DataFrame:
     """The paths of the nodes of rounds[0], given those of the trees' roots (index 0)."""
     paths = roots
     for nodes in reversed(rounds[:-1]):
-        by = nodes.groupBy("tree", F.floor(F.col("index") / fanout ** _height(fanout)).alias("block"))
-        paths = checkpointed(by.cogroup(paths.groupBy("tree", "index")).applyInArrow(_paths(fanout), _PATH))
+        by = _blocks(nodes, fanout, height).cogroup(paths.groupBy("tree", "index"))
+        paths = checkpointed(by.applyInArrow(_paths(fanout, height), _PATH))
     return paths
 
 
-def manifest(docs: DataFrame, changed: Column | None = None, carry: tuple[str, ...] = ("doc_id",), fanout: int = 2) -> DataFrame:
+def manifest(docs: DataFrame, changed: Column | None = None, carry: tuple[str, ...] = ("doc_id",), fanout: int = 2, block: int = BLOCK) -> DataFrame:
     """The columns of ``carry``, leaf, subroot, root, proof_sha256, folded_root and verified of every row of ``docs``.
 
     A node is the SHA-256 of the hex digests of ``fanout`` consecutive ones, of fewer at the end, while there are several; a lone leaf is its own
-    root. ``changed``: a row's leaf as found later (null: as it was); folded_root is recomputed from it and the row's siblings. Each row is a
+    root. A task hashes ``block`` nodes at once at most. ``changed``: a row's leaf as found later (null: as it was); folded_root is recomputed from it and the row's siblings. Each row is a
     leaf, whatever it repeats: rows of one language and id are in the order of their leaves, and a null id or language comes first. Any column may be
     null, texts may be empty or of any length; an empty table gives an empty result. Further columns are ignored, whatever their names.
     """
-    changed = F.lit(None).cast("string") if changed is None else changed
+    changed, height = F.lit(None).cast("string") if changed is None else changed, _height(fanout, block)
     rows = docs.select(*(F.col(c).alias(f"c_{c}") for c in carry), F.col("lang").alias("tree"), "doc_id", F.unhex(leaf([F.col(c) for c in FIELDS])).alias("digest"), F.unhex(changed).alias("changed"))
     leaves = checkpointed(numbered(checkpointed(rows), ["tree"], ["doc_id", "digest"]).drop("doc_id"))
-    rounds = grown(leaves, fanout)
+    rounds = grown(leaves, fanout, height)
     tops = numbered(rounds[-1].select("tree", "digest"), [], ["tree"]).withColumnRenamed("tree", "lang").withColumn("tree", F.lit(None).cast("string"))
     tops = checkpointed(tops)
-    over = grown(tops, fanout)
+    over = grown(tops, fanout, height)
     found = over[-1].first()
     root = found.digest.hex() if found else None
     whole = over[-1].select("tree", "index", *(F.array().cast("array<string>").alias(c) for c in ("left", "right")), F.lit(root).cast("string").alias("root"))
-    paths = routed(over, fanout, whole).drop("tree").join(tops.select("lang", "index", F.hex("digest").alias("subroot")), "index")
+    paths = routed(over, fanout, height, whole).drop("tree").join(tops.select("lang", "index", F.hex("digest").alias("subroot")), "index")
     paths = paths.select(F.col("lang").alias("tree"), F.lit(0).cast("long").alias("index"), "left", "right", F.lower("subroot").alias("root"))
     schema = ", ".join(f"`c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", leaf string, subroot string, proof_sha256 string, folded_root string"
     # The leaves' own paths stay within their blocks; only those of block roots are written.
-    above = routed(rounds[1:], fanout, paths)
-    out = _blocks(leaves, fanout).cogroup(above.groupBy("tree", "index")).applyInArrow(_proved(fanout, [f"c_{c}" for c in carry]), schema)
+    above = routed(rounds[1:], fanout, height, paths)
+    out = _blocks(leaves, fanout, height).cogroup(above.groupBy("tree", "index")).applyInArrow(_proved(fanout, height, [f"c_{c}" for c in carry]), schema)
     return out.select(*(F.col(f"c_{c}").alias(c) for c in carry), "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
 
 
