@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 
 import numpy as np
 
@@ -130,7 +131,8 @@ def brute_urls(urls, calibrates):
         return math.log(p)
 
     def score(t):
-        grams = [("^^^" + t)[i : i + 4] for i in range(len(t))]
+        padded = "^^^" + t
+        grams = [padded[i : i + 4] for i in range(len(t))]
         return sum(log_p("allow", g) - log_p("block", g) for g in grams) / len(t) if t else 0.0
 
     held = {d: [score(t) for t, e in known if e == d and t in calibrates] for d in ("allow", "block")}
@@ -158,6 +160,20 @@ def test_urls_against_dictionaries(spark):
     assert got[1_000_003].score != got[1_000_004].score and got[1_000_002].score != 0
 
 
+def test_urls_of_a_million_characters(spark):
+    """The cost is linear in a URL's length; equal rows are scored alike."""
+    long = "http://long.example.com/" + "path/x-1/" * 120_000
+    urls = [long, long, long + "z", "http://a.net/x", "http://b.net/y", "http://c.org/fr/1", "http://d.org/fr/2"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    start = time.monotonic()
+    got = {r.page_id: r for r in op5_urls.judge(df).select("page_id", "score").collect()}
+    assert time.monotonic() - start < 60
+    texts = df.select(op5_urls._plain(df.url).alias("t"))
+    apart = {r.t for r in texts.where(op5_urls.calibrates(texts.t)).collect()}
+    for i, (_, score, _) in enumerate(brute_urls(urls, apart)):
+        assert math.isclose(got[i].score, score, abs_tol=2e-6)
+
+
 def test_topk(vectors, spark):
     w = op7_topk.whole(vectors)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in op7_topk.search(w, w.where("vec_id % 100 = 0")).collect()}

@@ -5,7 +5,8 @@ one of those they block. They read the whole URL, scheme, query and fragment inc
 those of the context one shorter (Dirichlet, down to uniform). Their log-likelihood difference for a URL, divided by its
 length, is compared with a threshold. A fifth of the distinct URLs that rules decide, dealt by hash, is kept out of the models, and
 the threshold is calibrated on that fifth alone. Characters outside a-z, 0-9 and "./-:?#=&%_" count as one, so that the model has
-at most 47**4 entries.
+fewer than 48**4 entries, each two longs: it is always broadcast. Grams carry their row's number, not its URL, so that the cost is linear
+in a URL's length.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ _STRENGTH = 4.0
 _UNIT = float(1 << 20)
 #: One part in so many of the ruled URLs calibrates the threshold and teaches nothing.
 FOLDS = 5
-#: Entries of the model up to which it is broadcast (about 60 bytes each).
-BROADCAST = 200_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -51,17 +50,27 @@ def calibrates(text: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("cut"), text), F.lit(FOLDS)) == 0
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """Every character of ``text`` with the three before it, as ``gram``; ``^`` stands before the first."""
-    padded = F.concat(F.lit("^" * ORDER), F.col("text"))
-    at = F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"))).otherwise(F.array().cast("array<int>"))
-    return texts.select("*", F.explode(at).alias("at")).withColumn("gram", F.substring(padded, F.col("at"), F.lit(ORDER + 1))).drop("at")
+def _grams(texts: DataFrame, *keep: str) -> DataFrame:
+    """Every character of ``text`` with the three before it, as ``gram``, beside the columns of ``keep``; ``^`` stands before the first."""
+    characters = F.split(F.concat(F.lit("^" * ORDER), F.col("text")), "")
+    grams = F.slice(characters, F.lit(1), F.length("text"))
+    for k in range(1, ORDER + 1):
+        grams = F.zip_with(grams, F.slice(characters, F.lit(k + 1), F.length("text")), lambda x, y: F.concat(x, y))
+    return texts.select(*keep, F.explode(grams).alias("gram"))
+
+
+def _packed(gram: Column) -> Column:
+    """A gram's characters, all ASCII, in one long."""
+    out = F.lit(0).cast("long")
+    for k in range(ORDER + 1):
+        out = out * 128 + F.ascii(F.substring(gram, k + 1, 1))
+    return out
 
 
 def model(labelled: DataFrame, seen: DataFrame) -> DataFrame:
     """``labelled``: text and allow (0 or 1); ``seen``: the grams to have. Returns gram and ratio: the difference of the log
     probabilities of the gram's last character under the two models, in units of 2**-20."""
-    counts = checkpointed(_grams(labelled).groupBy("gram").agg(*(F.count(F.when(F.col("allow") == y, 1)).alias(f"n{y}") for y in (0, 1))))
+    counts = checkpointed(_grams(labelled, "allow").groupBy("gram").agg(*(F.count(F.when(F.col("allow") == y, 1)).alias(f"n{y}") for y in (0, 1))))
     entries = seen.select("gram")
     totals = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     for k in range(ORDER + 1):
@@ -82,14 +91,14 @@ def model(labelled: DataFrame, seen: DataFrame) -> DataFrame:
     return entries.select("gram", F.round((log_p(1) - log_p(0)) * _UNIT).cast("long").alias("ratio"))
 
 
-def scored(texts: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``texts``: distinct texts. Adds ``score``, the log-likelihood difference per character."""
-    grams = _grams(texts)
-    entries = checkpointed(model(labelled, grams.select("gram").distinct()))
-    if entries.count() <= BROADCAST:
-        entries = F.broadcast(entries)
-    sums = grams.join(entries, "gram").groupBy("text").agg(F.sum("ratio").alias("ratio"))
-    return sums.select("text", (F.col("ratio") / _UNIT / F.length("text")).alias("score"))
+def scored(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``rows`` (with ``key``, a number of each row, and ``text``) and ``score``, the log-likelihood difference per character; 0 for an empty text."""
+    entries = model(labelled, _grams(rows).distinct()).select(_packed(F.col("gram")).alias("gram"), "ratio")
+    grams = _grams(rows, "key").select("key", _packed(F.col("gram")).alias("gram"))
+    # A row's grams are in one task, which adds them up: one pair of longs of each row is shuffled.
+    sums = grams.join(F.broadcast(checkpointed(entries)), "gram").groupBy("key").agg(F.sum("ratio").alias("ratio"))
+    score = F.coalesce(F.col("ratio") / _UNIT / F.length("text"), F.lit(0.0))
+    return rows.join(sums, "key", "left").withColumn("score", score).drop("ratio")
 
 
 def threshold(held_out: DataFrame) -> float:
@@ -115,11 +124,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"), _plain(F.col("url")).alias("text"))
     rule, decided = ruled(F.col("host"), F.col("path"), rules)
-    rows = checkpointed(split.select("*", rule.alias("rule"), decided.alias("decided")))
-    known = rows.where("decided IS NOT NULL").select("text", (F.col("decided") == "allow").cast("int").alias("allow")).distinct()
-    known = checkpointed(known.withColumn("apart", calibrates(F.col("text"))))
-    scores = checkpointed(scored(rows.select("text").distinct(), known.where(~F.col("apart"))))
-    cut = threshold(known.where("apart").join(scores, "text"))
-    score = F.coalesce("score", F.lit(0.0))
-    verdict = F.coalesce("decided", F.when(score >= cut, "allow").otherwise("block"))
-    return rows.join(scores, "text", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"), F.lit(cut).alias("threshold"))
+    rows = checkpointed(split.select("*", rule.alias("rule"), decided.alias("decided"), F.monotonically_increasing_id().alias("key")))
+    ruled_rows, allow = F.col("decided").isNotNull(), (F.col("decided") == "allow").cast("int").alias("allow")
+    known = rows.where(ruled_rows & ~calibrates(F.col("text"))).select("text", allow).distinct()
+    scores = checkpointed(scored(rows, known))
+    cut = threshold(scores.where(ruled_rows & calibrates(F.col("text"))).select("text", allow, "score").distinct())
+    verdict = F.coalesce("decided", F.when(F.col("score") >= cut, "allow").otherwise("block"))
+    return scores.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(cut).alias("threshold"))
