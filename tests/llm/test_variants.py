@@ -79,3 +79,16 @@ def test_long_words_and_chains(spark):
     long = "abcdefghij" * 3000
     count = {long: 500, long[:-1]: 40, "z" + long: 3, "chained": 10**6, "chainedd": 10**5, "chaineddd": 10**4, "chaineddds": 10**3, "chainedddst": 10**2}
     assert got(op13_variants.variants(table(spark, count))) == brute(count)
+
+
+def test_halves_of_halves(monkeypatch):
+    """Called here, as a changed constant doesn't reach the tasks: each ordered pair is found once, however small the matrices."""
+    r = random.Random(5)
+    ends = sorted({"".join(r.choice("xyz") for _ in range(r.randint(5, 8))) for _ in range(150)})
+    words = ["common" + e for e in ends] + [e + "common" for e in ends]
+    want = sorted((a, b) for a in words for b in words if near(a, b))
+    for many, tile in ((1 << 22, 1 << 20), (2000, 64), (30, 64)):
+        monkeypatch.setattr(op13_variants, "_MANY", many)
+        monkeypatch.setattr(op13_variants, "_TILE", tile)
+        got = [(words[i], words[j]) for p, q in op13_variants.neighbours(words, [3] * len(words), words) for i, j in zip(p.tolist(), q.tolist())]
+        assert sorted(got) == want
