@@ -1,17 +1,21 @@
-"""Queries of statistical drift: encounters admitted before and from a day on, by segment."""
+"""Queries of drift: tests of encounters admitted before and from a day on, and windows of so many events."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardline.catalog.clinical import rounded
-from wardline.frames import Catalog
+from wardline.frames import Catalog, shared_folder
 from wardline.operators import shifts
 from wardline.plans.cohort import ENCOUNTERS_SQL, encounters
+from wardline.streaming import streams
 
 CATALOG = Catalog()
 add = CATALOG.add
 SINCE = "1995-07-01"
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _admitted(spark, sf):
@@ -50,3 +54,28 @@ def drift_numeric_tests(spark, sf):
         round(exp(-chi / 2) * list_sum([power(chi / 2, i) / gamma(i + 1) FOR i IN range(0, (categories - 1) // 2)]), 8) AS p FROM s JOIN r USING (segment, feature)""")
 def drift_categorical_tests(spark, sf):
     return rounded(rounded(shifts.categorical_shift(_admitted(spark, sf), ["region", "expected_los"], "now", ["segment"]), "chi_square"), "p", at=8)
+
+
+_SIZE, _EVERY, _DAYS = 100, 50, 7
+
+
+@add(f"""WITH o AS (SELECT event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, min(ts) OVER (PARTITION BY event_type) AS first FROM events
+        WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events) AND event_type IS NOT NULL AND value IS NOT NULL AND event_id IS NOT NULL),
+    a AS (SELECT event_type, i, first, min(ts) OVER w AS start, ts AS "end", avg(value) OVER w AS mean FROM o WINDOW w AS (PARTITION BY event_type ORDER BY i ROWS {_SIZE - 1} PRECEDING)),
+    n AS (SELECT event_type, CAST((i + 1 - {_SIZE}) // {_EVERY} AS BIGINT) AS "window", start, "end", mean, first + to_days(CAST(date_diff('microsecond', first, "end") // (86400000000 * {_DAYS}) * {_DAYS} AS INTEGER)) AS due
+          FROM a WHERE i + 1 >= {_SIZE} AND (i + 1 - {_SIZE}) % {_EVERY} = 0),
+    b AS (SELECT n.*, coalesce((SELECT max_by(m.mean, m."window") FROM n m WHERE m.event_type = n.event_type AND m."end" < n.due), (SELECT m.mean FROM n m WHERE m.event_type = n.event_type AND m."window" = 0 AND n."window" > 0)) AS baseline FROM n)
+    SELECT event_type, "window", start, "end", round(mean, 6) AS mean, round(baseline, 6) AS baseline, round(abs(mean - baseline) / abs(baseline), 6) AS shift, abs(mean - baseline) / abs(baseline) > 0.05 AS drifted FROM b""")
+def stream_count_windows(spark, sf):
+    """The store of a stream's state is the session's setting, put back once the stream has ended."""
+    name, (setting, provider) = f"count_{uuid.uuid4().hex}", streams.STATE_STORE
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, provider)
+    try:
+        rows = streams.count_windows(streams.read(spark, sf, EVENTS, "events.parquet"), "event_type", "event_id", _SIZE, _EVERY, days=_DAYS)
+        place = f"{shared_folder(spark)}/{name}"
+        rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start(place).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    out = spark.read.schema(rows.schema).parquet(place).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return rounded(out, "mean", "baseline", "shift")

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wardline.frames import known, require
 from wardline.operators.privacy import Deidentification, deidentify_bundles
 from wardline.sources.stores import FeatureStore
 
@@ -80,3 +82,101 @@ def drift_states(scores: DataFrame, key: str, baseline: float, sensitivity: floa
 
     kind = dict(scores.dtypes)[key]
     return scores.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, mean double, status string", "n long, total double, drifted boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+#: What a session must be set to before it starts a stream with ``count_windows``: their state is in several columns.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _CountWindows(StatefulProcessor):
+    """Rows wait in ``pending`` until the watermark passes them, then enter panes of ``every`` rows in order of time and id; the ring of
+    the last ``size / every`` panes is a window."""
+
+    def __init__(self, key: str, kind: str, size: int, every: int, baseline: float | None, days: float):
+        self.key, self.kind, self.size, self.every = key, kind, size, every
+        self.baseline, self.step = baseline, int(days * 86_400_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", f"us long, id {self.kind}, value double")
+        self.panes = handle.getListState("panes", "start long, total double")
+        self.at = handle.getValueState("at", "n long, total double, start long, window long, baseline double, last double, due long")
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            if len(b):
+                self.pending.appendList(list(zip(b["us"].tolist(), b["id"].tolist(), b["value"].tolist())))
+                self._wake(int(b["us"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.pending.get())
+        rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]
+        ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        if ready:
+            out = self._windows(ready)
+            if out:
+                columns = ["window", "start", "end", "mean", "baseline"]
+                yield pd.DataFrame(out, columns=columns).assign(**{self.key: key[0]})[[self.key, *columns]].astype({"baseline": float})
+        if rest:
+            self.pending.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.pending.clear()
+
+    def _windows(self, ready: list[tuple]) -> list[tuple]:
+        n, total, start, window, baseline, last, due = self.at.get() if self.at.exists() else (0, 0.0, 0, 0, self.baseline, None, ready[0][0] + self.step)
+        panes, out = [tuple(p) for p in self.panes.get()], []
+        for us, _, value in ready:
+            if us >= due:
+                due += ((us - due) // self.step + 1) * self.step
+                baseline = baseline if last is None else last
+            start = start if n else us
+            n, total = n + 1, total + value
+            if n == self.every:
+                panes = [*panes, (start, total)][-(self.size // self.every) :]
+                n, total = 0, 0.0
+                if len(panes) == self.size // self.every:
+                    last = sum(t for _, t in panes) / self.size
+                    out.append((window, panes[0][0], us, last, baseline))
+                    window, baseline = window + 1, last if baseline is None else baseline
+        self.at.update((n, total, start, window, baseline, last, due))
+        if panes:
+            self.panes.put(panes)
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def count_windows(rows: DataFrame, key: str, order: str, size: int = 1000, every: int | None = None, baseline: float | None = None, threshold: float = 0.05, days: float = 30.0, delay: str = "1 hour") -> DataFrame:
+    """A stream of windows of ``size`` rows (ts, value) of a key, one for each ``every`` rows (by default ``size``, of which it is a divisor):
+    key, window (from 0), start, end, mean, the ``baseline`` it is compared with, their relative ``shift`` and whether it is ``drifted``.
+
+    Rows are taken in order of ts and ``order``, whatever their batches, once the watermark (the latest ts less ``delay``) has passed them;
+    rows that come after that are dropped, as are those lacking a key, ts, ``order`` or value (null or NaN). Rows that repeat ts and
+    ``order`` count once, of different values the least. Each ``days`` after a key's first row the mean of its latest
+    window becomes its baseline, from the next row on. Without a given baseline the first window is, and its own shift is null, as
+    is any from a baseline of 0. An unfinished window gives nothing. The result is that of row numbers over the whole table.
+
+    Rows of a key are handled one after the other. State: its rows within ``delay`` and ``size / every`` panes. The session needs ``STATE_STORE``.
+    """
+    require(rows, [key, order, "ts", "value"])
+    every = every or size
+    if size < 1 or every < 1 or size % every:
+        raise ValueError("every must divide size")
+    kind, id_kind = dict(rows.dtypes)[key], dict(rows.dtypes)[order]
+    value = F.col("value").cast("double")
+    some = _late(rows.where(F.col(key).isNotNull() & F.col("ts").isNotNull() & F.col(order).isNotNull() & known(value)), delay)
+    # The column with the watermark stays, so that Spark drops late rows; the microseconds don't depend on a time zone.
+    some = some.select(F.col(key), "ts", F.unix_micros("ts").alias("us"), F.col(order).alias("id"), value.alias("value"))
+    processor = _CountWindows(key, id_kind, size, every, baseline, days)
+    schema = f"`{key}` {kind}, window long, start long, end long, mean double, baseline double"
+    windows = some.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    shift = F.abs(F.col("mean") - F.col("baseline")) / F.nullif(F.abs("baseline"), F.lit(0.0))
+    at = {c: F.timestamp_micros(c) for c in ("start", "end")}
+    return windows.withColumns(at).withColumn("baseline", F.nanvl("baseline", F.lit(None))).withColumn("shift", shift).withColumn("drifted", F.col("shift") > threshold)
