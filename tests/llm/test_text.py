@@ -174,6 +174,38 @@ def test_quality_of_unseen_documents(spark):
     assert len(rows) > 50 and np.mean([r.kept for r in rows]) > 0.95
 
 
+def test_quality_in_small_languages(spark):
+    """Thresholds from few trusted rows (10 to 20 of these languages) keep unseen trusted documents as well, and still reject others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = []
+    for odd in (0, 1):
+        rows += op6_quality.score(docs, labels.where(f"doc_id % 2 = {odd}")).join(labels.where(f"doc_id % 2 <> {odd}"), "doc_id").collect()
+    small = [r for r in rows if r.lang != "en"]
+    assert len(small) > 100 and np.mean([r.kept for r in small if r.quality]) >= 0.95
+    assert np.mean([r.kept for r in rows if not r.quality]) < 0.6
+
+
+def test_cuts_of_few_rows(spark):
+    """A further row of a language with 10 rows is under its cut as often as the quantile says; with many rows the cut is the quantile."""
+    r = np.random.default_rng(5)
+    rows = [(f"s{i}", float(x)) for i in range(300) for x in r.normal(i % 7, 1.0, 10)] + [(None, float(x)) for x in r.normal(3, 1.0, 40_000)]
+    got = {c.of: c.cut for c in op6_quality._cuts(spark.createDataFrame(rows, "lang string, x double"), 0.995).collect()}
+    further = np.concatenate([r.normal(i % 7, 1.0, 200) <= got[f"s{i}"] for i in range(300)])
+    assert 0.985 < further.mean() < 1 and abs(got[None] - np.quantile([x for l, x in rows if l is None], 0.995)) < 0.05
+    assert [c.cut for c in op6_quality._cuts(spark.createDataFrame([("a", 2.0)], "lang string, x double"), 0.995).collect()] == [2.0]
+    assert op6_quality._cuts(spark.createDataFrame([], "lang string, x double"), 0.995).count() == 0
+
+
+def test_pieces_have_no_false_ends():
+    """Counts of a text's pieces: starts and ends only where the text has them."""
+    whole = op6_quality.counts(pa.array(["a b c d e f"])).column("keys").to_pylist()
+    yes, no = np.array([True, False, False]), np.array([False, False, True])
+    pieces = op6_quality.counts(pa.array(["a b c", "c d", "d e f"]), yes, no).column("keys").to_pylist()
+    assert set(pieces) < set(whole) and len(pieces) == 3 + 0 + 2
+    assert op6_quality.counts(pa.array(["", "x", None]), no & yes, no & yes).num_rows == 0
+
+
 def brute_kneser_ney(train, text):
     """Words and -ln p of a text, by dictionaries: trigram counts, then numbers of types before, down to the uniform share."""
     split = lambda t: ["<s>", "<s>", *re.findall(r"[^\x20\x09-\x0D.,;:!?]+", t.translate(LOWER)), "</s>"]
