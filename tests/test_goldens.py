@@ -308,6 +308,7 @@ def test_calibration_by_group_of_many_rows(spark):
 def test_date_columns_after_nulls(spark):
     rows = spark.createDataFrame([(None, "x", i) for i in range(30)] + [("2020-01-02", "y", 30)], "born string, note string, n int").coalesce(1)
     assert privacy.date_columns(rows) == ["born"]
+    assert privacy.date_columns(rows.where("n < 30")) == privacy.date_columns(rows.limit(0)) == []
 
 
 def test_exact_quantiles(spark):
@@ -356,6 +357,10 @@ def test_notices_and_patients(spark):
     assert stores.projected(p).columns == list(stores.BASIC.values()) and stores.get_patient(p, "z").count() == 0
     again = {r.patient_id: r for r in stores.recomputed(p, spark.createDataFrame([("b", 0.5)], "patient_id string, score double"), "now").collect()}
     assert (again["b"].risk_score, again["b"].risk_band, again["b"].updated_at) == (0.5, "medium", "now") and again["a"].updated_at is None
+    twice = stores.recomputed(p, spark.createDataFrame([("b", 0.5), ("b", 0.8), ("b", None)], "patient_id string, score double"), "now").collect()
+    assert len(twice) == 2 and {r.patient_id: r.risk_score for r in twice} == {"a": 0.9, "b": 0.8}
+    repeated = stores.overlay(p, spark.createDataFrame([("b", "X"), ("b", "Y"), ("c", None), ("c", "Z")], "patient_id string, name string")).collect()
+    assert sorted((r.patient_id, r.name) for r in repeated) == [("a", "A"), ("b", "Y"), ("c", "Z")]
     assert [r.patient_id for r in stores.delete_patients(p, p.where("patient_id = 'a'")).collect()] == ["b"]
 
 

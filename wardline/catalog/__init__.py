@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wardline.catalog import checks, clinical, coding, cohorts, desk, records, scoring, shifting, survival, temporal
+from wardline.catalog import checks, clinical, coding, cohorts, desk, records, scoring, shifting, survival, temporal, trees
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (clinical, temporal, coding, scoring, checks, records, cohorts, desk, survival, shifting):
+for _part in (clinical, temporal, coding, scoring, checks, records, cohorts, desk, survival, shifting, trees):
     QUERIES |= _part.CATALOG.queries
     ORACLES |= _part.CATALOG.oracles

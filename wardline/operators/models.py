@@ -260,13 +260,14 @@ def global_importance(explanations: DataFrame, n: int | None = None) -> DataFram
 
 
 def permutation_importance(df: DataFrame, features: list[str], score: Callable[[DataFrame], DataFrame], metric: Callable[[DataFrame], float], key: str, seed: int = 0) -> list[tuple[str, float]]:
-    """How much a metric falls when one feature's values are dealt anew among the rows: a shift by hashed order."""
+    """How much a metric falls when one feature's values are dealt anew among the rows: a shift by hashed order, within buckets of the key's
+    hash, of some 10,000 rows each in a large table."""
     from pyspark.sql.window import Window
 
-    whole = metric(score(df))
+    whole, buckets = metric(score(df)), max(256, df.count() // 10_000)
     out = []
     for i, f in enumerate(features):
-        bucket = F.pmod(F.xxhash64(key, F.lit(seed + i)), F.lit(256))
+        bucket = F.pmod(F.xxhash64(key, F.lit(seed + i)), F.lit(buckets))
         w = Window.partitionBy(bucket).orderBy(F.xxhash64(F.lit(seed + i), key))
         moved = df.withColumn(f, F.coalesce(F.lag(f).over(w), F.first(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
         out.append((f, whole - metric(score(moved))))

@@ -6,7 +6,6 @@ Hashes and date shifts depend on a salt that the caller must give, so results ar
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +62,12 @@ def age_on(birth: Column, today: str) -> Column:
 
 
 def date_columns(df: DataFrame) -> list[str]:
-    """Columns of a date type, and text columns with a date in one of their first ten values that aren't null (one small job for all)."""
+    """Columns of a date type, and text columns with a date in any value (one pass over all rows, so that reruns agree)."""
     out = [c for c, k in df.dtypes if k.startswith(("timestamp", "date"))]
     texts = [c for c, k in df.dtypes if k == "string"]
     if texts:
-        heads = [df.select(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")).where("value IS NOT NULL").limit(10) for c in texts]
-        dated = reduce(DataFrame.union, heads).where(F.col("value").rlike("|".join(DATE_PATTERNS)))
-        out += [r.name for r in dated.select("name").distinct().collect()]
+        dated = df.agg(*(F.bool_or(F.col(f"`{c}`").rlike("|".join(DATE_PATTERNS))).alias(f"d{i}") for i, c in enumerate(texts))).first()
+        out += [c for c, found in zip(texts, dated) if found]
     return [c for c in df.columns if c in out]
 
 

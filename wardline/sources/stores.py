@@ -235,8 +235,9 @@ def delete_patients(patients: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def recomputed(patients: DataFrame, scores: DataFrame, now: str) -> DataFrame:
-    """``patients`` with the scores of ``scores`` (patient_id, score), their band, and the time of the change; others stay."""
-    new = scores.select(F.col("patient_id").alias("_k"), F.col("score").alias("_s")).dropDuplicates(["_k"])
+    """``patients`` with the scores of ``scores`` (patient_id, score), their band, and the time of the change; others stay. Of several scores
+    of a patient the highest counts."""
+    new = scores.groupBy(F.col("patient_id").alias("_k")).agg(F.max("score").alias("_s"))
     changed = F.col("_s").isNotNull()
     rows = patients.join(new, F.col("patient_id") == F.col("_k"), "left")
     made = {"risk_score": F.coalesce("_s", "risk_score"), "risk_band": risk_band(F.coalesce("_s", "risk_score"))}
@@ -245,8 +246,10 @@ def recomputed(patients: DataFrame, scores: DataFrame, now: str) -> DataFrame:
 
 
 def overlay(table: DataFrame, changes: DataFrame, key: str = "patient_id", columns=UPDATABLE) -> DataFrame:
-    """``table`` with the columns that may change taken from ``changes`` where they aren't null, and unknown keys added."""
+    """``table`` with the columns that may change taken from ``changes`` where they aren't null, and unknown keys added. Of changes that repeat
+    a key, each column's largest value counts."""
     use = [c for c in columns if c in table.columns and c in changes.columns]
+    changes = changes.groupBy(key).agg(*(F.max(c).alias(c) for c in use)) if use else changes.select(key).distinct()
     new = changes.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in use))
     kept = table.join(new, F.col(key) == F.col("_k"), "left").select(*((F.coalesce(f"_{c}", c) if c in use else F.col(c)).alias(c) for c in table.columns))
     added = changes.join(table.select(key), key, "left_anti").select(key, *use)
