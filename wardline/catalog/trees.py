@@ -1,4 +1,4 @@
-"""Queries of tree explanations: a tree of two yes-or-no features, whose splits and values SQL can follow."""
+"""Queries of tree explanations (a tree of two yes-or-no features, whose splits and values SQL can follow) and of fits under a bound on disparity."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardline.catalog.clinical import rounded
 from wardline.frames import Catalog
 from wardline.operators import trees
+from wardline.operators.constrained import fit_constrained
 from wardline.plans.cohort import ENCOUNTERS_SQL, encounters
 
 CATALOG = Catalog()
@@ -45,3 +46,11 @@ def explain_tree_values(spark, sf):
 def explain_tree_interactions(spark, sf):
     rows, model = _fitted(spark, sf)
     return rounded(trees.tree_interactions(rows, model, FEATURES, "encounter_id"), "value", at=8)
+
+
+@add()
+def fairness_constrained_decisions(spark, sf):
+    """Decisions about all encounters by a fit whose rates differ by at most 0.1 between regions."""
+    rows = encounters(spark, sf).select("encounter_id", "region", "expected", "expected_los", "mortality")
+    fitted = fit_constrained(rows, ["expected", "expected_los"], "mortality", "region", 0.1, rounds=4)
+    return fitted.decided(rows, "encounter_id").select("encounter_id", "region", "share", "decision")
