@@ -387,7 +387,9 @@ def ages_on_a_day(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", V.age_on(born, "2024-03-01").alias("age"))
 
 
-@add("SELECT unnest(['o_orderdate', 'written']) AS name")
+@add("""SELECT column_name AS name FROM (DESCRIBE orders) WHERE column_type LIKE 'DATE%' OR column_type LIKE 'TIMESTAMP%'
+    UNION ALL SELECT name FROM (SELECT 'o_orderstatus' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT 'written', CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END FROM orders)
+    GROUP BY name HAVING bool_or(coalesce(regexp_matches(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), false))""")
 def date_columns_found(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("written"))
     return spark.createDataFrame([(c,) for c in V.date_columns(rows)], "name string")
@@ -472,13 +474,12 @@ def stream_appended_log(spark, sf):
     return spark.read.parquet(path).select("event_id", "event_type")
 
 
-@add("SELECT user_id AS patient_id, strftime(ts, '%Y-%m-%d') AS day, count(*) > 0 AS there FROM events WHERE user_id < 20 GROUP BY ALL")
+@add("SELECT user_id AS patient_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(value, ts) AS value FROM events GROUP BY ALL")
 def stream_upserted_features(spark, sf):
     store = S.FeatureStore(spark, _place(spark, "stream-features"))
-    rows = streams.read(spark, sf, _EVENTS, "events.parquet").where("user_id < 20")
-    rows = rows.select(F.col("user_id").alias("patient_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("feature_timestamp"), "value")
+    rows = streams.read(spark, sf, _EVENTS, "events.parquet").select(F.col("user_id").alias("patient_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("feature_timestamp"), "value")
     streams.upserted(rows, store, _place(spark, "stream")).awaitTermination()
-    return store.all().select("patient_id", F.col("feature_date").alias("day"), F.lit(True).alias("there"))
+    return store.all().select("patient_id", F.col("feature_date").alias("day"), "value")
 
 
 @add("SELECT event_type, count(*) AS n, CASE WHEN abs(avg(coalesce(value, 0)) - 50) / 50 > 0.02 THEN 'Drift' ELSE 'Stable' END AS status FROM events GROUP BY event_type")
@@ -499,7 +500,8 @@ def stream_deidentified(spark, sf):
     return count(out, "masked").unionByName(count(bad, "refused"))
 
 
-@add(f"WITH {ENCOUNTERS_SQL} SELECT 'Age Drift' AS status")
+@add(f"""WITH {ENCOUNTERS_SQL}, b AS (SELECT max(encounter_id) AS newest FROM enc GROUP BY encounter_id % 5)
+    SELECT CASE WHEN count(*) FILTER (WHERE newest % 5 = 2) > 0 THEN 'Age Drift' ELSE 'Stable' END AS status FROM b""")
 def sticky_drift_status(spark, sf):
     days = encounters(spark, sf).groupBy(F.col("encounter_id") % 5).agg(F.max("encounter_id").alias("at"))
     batches = days.select("at", F.when(F.col("at") % 5 == 2, "Age Drift").otherwise("Stable").alias("status"))
