@@ -291,11 +291,10 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 
 def _streamed(spark, sf, make):
     """A streaming query over the events that are there, as a table once it has ended."""
-    name = f"stream_{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
     rows = make(streams.read(spark, sf, _EVENTS, "events.parquet"))
-    query = rows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    streams.completed(rows, place, f"{place}-state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(place)
 
 
 @add("SELECT CAST(day AS TIMESTAMP) AS \"start\", CAST(day + INTERVAL 7 DAY AS TIMESTAMP) AS \"end\", user_id, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT CAST(ts AS DATE) - CAST(i AS INTEGER) AS day, user_id, value FROM events, range(7) r(i)) GROUP BY day, user_id")

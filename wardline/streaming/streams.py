@@ -48,6 +48,13 @@ def appended(rows: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
+def completed(rows: DataFrame, path: str, checkpoint: str):
+    """Starts the stream of an aggregation into files: after each micro-batch ``path`` holds its whole result, written by the
+    executors. A retry replaces it."""
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    return rows.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _late(events: DataFrame, delay: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
