@@ -66,7 +66,12 @@ def daily_means(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def sliding_weeks(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    week = _late(events, delay).groupBy(F.window("ts", "7 days", "1 day"), "user_id").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    """Mean and count by user of the seven days from each day on; events later than ``delay`` are dropped.
+
+    An event is in seven windows: a user's events are brought together first, so that many tasks, not one for a large file, make
+    them, and a window's sum goes to the state once."""
+    near = _late(events, delay).repartition("user_id")
+    week = near.groupBy(F.window("ts", "7 days", "1 day"), "user_id").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     return week.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "user_id", "mean", "n")
 
 
