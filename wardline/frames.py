@@ -37,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in at least four parts of equal size for each core, for rows that are small but take long: a file of some
+    MB would be one task, however many rows it has."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def running_totals(rows: DataFrame, order: str, columns: list[str], by: list[str] = (), bins: int = 256) -> DataFrame:
     """Adds to each row, for each column, ``{c}_upto``: its sum over the rows of the group from the largest ``order`` down to this
     one, and ``{c}_total``, over all of the group.

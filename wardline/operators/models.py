@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.frames import exact_quantiles, running_totals
+from wardline.frames import dealt, exact_quantiles, running_totals
 
 Predict = Callable[[np.ndarray], np.ndarray]
 MODELS = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "boosted": GBTClassifier, "factorization": FMClassifier}
@@ -122,16 +122,21 @@ def background(df: DataFrame, features: list[str], key: str, n: int = BACKGROUND
 
 def _uniform(keys: np.ndarray, *shape: int) -> np.ndarray:
     """Numbers from 0 to 1 for each row, drawn from its key alone, so that they don't depend on how rows are batched."""
-    n = int(np.prod(shape))
-    x = keys.astype(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _numbered(keys, np.arange(np.prod(shape, dtype=int))).reshape(len(keys), *shape)
+
+
+def _numbered(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Of each row's numbers those in these places."""
+    x = keys.astype(np.uint64)[:, None] + (numbers.ravel().astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)).reshape(len(keys), *shape)
+    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)).reshape(len(keys), *numbers.shape)
 
 
-def _normal(keys: np.ndarray, *shape: int) -> np.ndarray:
-    u = _uniform(keys, 2, *shape)
-    return np.sqrt(-2 * np.log1p(-u[:, 0])) * np.cos(2 * np.pi * u[:, 1])
+def _normal(keys: np.ndarray, draws: int, d: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """``draws`` vectors of ``d`` normal numbers for each row, of which those from ``begin`` to ``end`` are returned."""
+    places = np.arange(draws * d).reshape(draws, d)[begin:end]
+    return np.sqrt(-2 * np.log1p(-_numbered(keys, places))) * np.cos(2 * np.pi * _numbered(keys, places + draws * d))
 
 
 def _predicted(predict: Predict, x: np.ndarray) -> np.ndarray:
@@ -170,17 +175,32 @@ def lime_values(predict: Predict, x: np.ndarray, base: np.ndarray, keys: np.ndar
 def counterfactuals(predict: Predict, x: np.ndarray, base: np.ndarray, keys: np.ndarray, n: int = 3, draws: int = 500, threshold: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """The nearest (L1) ``n`` of the first 3 n random changes of each row that put its score on the other side of the threshold: the
     rows' positions, and the changed rows, the nearest first."""
-    near = x[:, None] + 0.5 * _normal(keys, draws, x.shape[1]) * (base.std(axis=0) + 1e-12)
-    flips = (_predicted(predict, near) >= threshold) != (_predicted(predict, x) >= threshold)[:, None]
-    flips &= np.cumsum(flips, axis=1) <= 3 * n
-    far = np.where(flips, np.abs(near - x[:, None]).sum(axis=2), np.inf)
-    order = np.argsort(far, axis=1, kind="stable")[:, :n]
-    row, place = np.nonzero(np.isfinite(np.take_along_axis(far, order, axis=1)))
-    return row, near[row, order[row, place]]
+    spread, side, todo, count, found = base.std(axis=0) + 1e-12, _predicted(predict, x) >= threshold, np.arange(len(x)), np.zeros(len(x), int), []
+    # A row is done with the part of its draws in which its last change comes.
+    for begin in range(0, draws, _DRAWN):
+        if not len(todo):
+            break
+        near = x[todo, None] + 0.5 * _normal(keys[todo], draws, x.shape[1], begin, begin + _DRAWN) * spread
+        flips = (_predicted(predict, near) >= threshold) != side[todo, None]
+        upto = np.cumsum(flips, axis=1) + count[todo, None]
+        row, place = np.nonzero(flips & (upto <= 3 * n))
+        found.append((todo[row], near[row, place]))
+        count[todo] = upto[:, -1]
+        todo = todo[count[todo] < 3 * n]
+    if not found:
+        return np.zeros(0, int), x[:0]
+    row, near = (np.concatenate(f) for f in zip(*found))
+    # Stable, so that equally near ones keep the order in which they were drawn.
+    order = np.lexsort((np.abs(near - x[row]).sum(axis=1), row))
+    row, near = row[order], near[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[first], near[first]
 
 
 #: Numbers that a block of rows hands to ``predict`` at most, and how many a row takes, by method.
 _BLOCK = 1 << 21
+#: How many changes of a row are drawn at once.
+_DRAWN = 50
 _DRAWS = {"shap": 11, "lime": 200, "counterfactual": 500}
 
 
@@ -194,7 +214,8 @@ def _explained(method: str, predict: Predict, x: np.ndarray, base: np.ndarray, k
 def explain(df: DataFrame, features: list[str], predict: Predict, base: np.ndarray, key: str, method: str = "shap", seed: int = 0, legacy: bool = False) -> DataFrame:
     """Long explanations: key, feature, value; shap, lime, attention, or counterfactual (with ``option``, one for each change).
 
-    ``predict`` is called once for a block of rows. Attention, each value's share of the row's absolute values, needs no Python.
+    ``predict`` is called once for a block of rows, for counterfactuals once for each part of its draws. The rows are dealt over the cluster,
+    whatever files they come from. Attention, each value's share of the row's absolute values, needs no Python.
     """
     if method == "attention":
         return attention(df, features, key)
@@ -212,7 +233,7 @@ def explain(df: DataFrame, features: list[str], predict: Predict, base: np.ndarr
                 yield pd.DataFrame({"key": np.repeat(names, len(features)), "option": np.repeat(option, len(features)), "feature": np.tile(features, len(row)), "value": values.ravel()})
 
     draw = F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("_draw")
-    return df.select(key, *features, draw).mapInPandas(run, "key string, option int, feature string, value double")
+    return dealt(df.select(key, *features, draw)).mapInPandas(run, "key string, option int, feature string, value double")
 
 
 def attention(df: DataFrame, features: list[str], key: str) -> DataFrame:
@@ -250,7 +271,7 @@ def interactions(df: DataFrame, features: list[str], predict: Predict, base: np.
                 yield pd.DataFrame({"key": np.repeat(some[key].astype(str).to_numpy(), len(pairs)), "a": np.tile([features[i] for i, _ in pairs], len(some)), "b": np.tile([features[j] for _, j in pairs], len(some)), "value": v.ravel()})
 
     draw = F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("_draw")
-    return df.select(key, *features, draw).mapInPandas(run, "key string, a string, b string, value double")
+    return dealt(df.select(key, *features, draw)).mapInPandas(run, "key string, a string, b string, value double")
 
 
 def global_importance(explanations: DataFrame, n: int | None = None) -> DataFrame:
