@@ -100,9 +100,15 @@ def drift_states(scores: DataFrame, key: str, baseline: float, sensitivity: floa
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Rows of a key that tasks collect before they write them to the state, and that they put in order at once.
+_HELD = 1 << 17
+#: The rows that wait are kept by the hour.
+_SLOT = 3_600_000_000
+
+
 class _CountWindows(StatefulProcessor):
-    """Rows wait in ``pending`` until the watermark passes them, then enter panes of ``every`` rows in order of time and id; the ring of
-    the last ``size / every`` panes is a window."""
+    """Rows wait in ``pending``, blocks of columns by hour, until the watermark passes them, then enter panes of ``every`` rows in order of
+    time and id; the ring of the last ``size / every`` panes is a window. Hours are taken one after the other, those of many rows in parts."""
 
     def __init__(self, key: str, kind: str, size: int, every: int, baseline: float | None, days: float):
         self.key, self.kind, self.size, self.every = key, kind, size, every
@@ -110,35 +116,72 @@ class _CountWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", f"us long, id {self.kind}, value double")
+        self.pending = handle.getMapState("pending", "slot long, block long", f"us array<long>, id array<{self.kind}>, value array<double>")
+        self.slots = handle.getMapState("slots", "slot long", "first long, next long, n long")
         self.panes = handle.getListState("panes", "start long, total double")
         self.at = handle.getValueState("at", "n long, total double, start long, window long, baseline double, last double, due long")
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))
 
+    def _wait(self, rows: pd.DataFrame) -> None:
+        for slot, some in rows.groupby(rows["us"] // _SLOT):
+            first, next_, n = self.slots.getValue((int(slot),)) or (0, 0, 0)
+            self.pending.updateValue((int(slot), next_), tuple(some[c].tolist() for c in ("us", "id", "value")))
+            self.slots.updateValue((int(slot),), (first, next_ + 1, n + len(some)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for b in rows:
             if len(b):
-                self.pending.appendList(list(zip(b["us"].tolist(), b["id"].tolist(), b["value"].tolist())))
                 self._wake(int(b["us"].min()))
+                held, n = [*held, b[["us", "id", "value"]]], n + len(b)
+            if n >= _HELD:
+                self._wait(pd.concat(held))
+                held, n = [], 0
+        if held:
+            self._wait(pd.concat(held))
         return iter(())
 
+    def _parts(self, slot: int, begin: int, end: int) -> Iterator[list[tuple]]:
+        """The rows of a slot from ``begin`` to before ``end``, each once, in parts in order of time."""
+        first, next_, n = self.slots.getValue((slot,))
+        step = -(-_SLOT // (n // _HELD + 1))
+        for low in range(begin, end, step):
+            high, rows = min(low + step, end), []
+            for block in range(first, next_):
+                rows += [r for r in zip(*self.pending.getValue((slot, block))) if low <= r[0] < high]
+            rows.sort()
+            rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]
+            if rows:
+                yield rows
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.pending.get())
-        rows = [r for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]
-        ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        if ready:
-            out = self._windows(ready)
-            if out:
-                columns = ["window", "start", "end", "mean", "baseline"]
-                yield pd.DataFrame(out, columns=columns).assign(**{self.key: key[0]})[[self.key, *columns]].astype({"baseline": float})
-        if rest:
-            self.pending.put(rest)
-            self._wake(rest[0][0])
-        else:
-            self.pending.clear()
+        for slot in sorted(k[0] for k in self.slots.keys()):
+            begin, end = slot * _SLOT, (slot + 1) * _SLOT
+            if begin > passed:
+                self._wake(begin)
+                return
+            for ready in self._parts(slot, begin, min(end, passed + 1)):
+                out = self._windows(ready)
+                if out:
+                    columns = ["window", "start", "end", "mean", "baseline"]
+                    yield pd.DataFrame(out, columns=columns).assign(**{self.key: key[0]})[[self.key, *columns]].astype({"baseline": float})
+            # Rows beyond the watermark stay, in blocks after the old ones.
+            first, next_, _ = self.slots.getValue((slot,))
+            stay = 0
+            for rest in self._parts(slot, passed + 1, end):
+                if not stay:
+                    self._wake(rest[0][0])
+                self._wait(pd.DataFrame(rest, columns=["us", "id", "value"]))
+                stay += len(rest)
+            for block in range(first, next_):
+                self.pending.removeKey((slot, block))
+            if stay:
+                self.slots.updateValue((slot,), (next_, self.slots.getValue((slot,))[1], stay))
+            else:
+                self.slots.removeKey((slot,))
 
     def _windows(self, ready: list[tuple]) -> list[tuple]:
         n, total, start, window, baseline, last, due = self.at.get() if self.at.exists() else (0, 0.0, 0, 0, self.baseline, None, ready[0][0] + self.step)
@@ -175,7 +218,7 @@ def count_windows(rows: DataFrame, key: str, order: str, size: int = 1000, every
     window becomes its baseline, from the next row on. Without a given baseline the first window is, and its own shift is null, as
     is any from a baseline of 0. An unfinished window gives nothing. The result is that of row numbers over the whole table.
 
-    Rows of a key are handled one after the other. State: its rows within ``delay`` and ``size / every`` panes. The session needs ``STATE_STORE``.
+    Rows of a key are handled one after the other; a task holds those of an hour, or a part of one that has many. State: its rows within ``delay`` and ``size / every`` panes. The session needs ``STATE_STORE``.
     """
     require(rows, [key, order, "ts", "value"])
     every = every or size
