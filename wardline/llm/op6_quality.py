@@ -21,6 +21,8 @@ from .words import SPACES, Words, mix, pack, unpack, utf8
 
 #: Bytes of text that go to a shard together, and those of a shard.
 SLICE, SHARD = 4 << 20, 64 << 20
+#: Ids up to which a list of them is broadcast.
+IDS = 1 << 22
 #: The unit of losses, which are whole numbers until they are summed, so that the sum doesn't depend on its order.
 UNIT = 2.0**30
 #: Words' worth of the language's mean that a document's loss is mixed with.
@@ -199,9 +201,9 @@ def _seen(batches):
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
-def _sent(vocabulary, shards: int, teach: bool):
-    """Of each slice of texts a message to each shard: each word's text, the two words before it and itself. To one of them also the rows'
-    doc_id, lang and numbers of words."""
+def _sent(vocabulary, shards: int, shares=None):
+    """Of each slice of texts a message to each shard: each word's text, the two words before it and itself. Of texts to judge (those with
+    ``shares``) also one with the rows' doc_id, lang, numbers of words and sums for the words that need no shard."""
 
     def sent(batches):
         task = TaskContext.get().partitionId()
@@ -212,16 +214,19 @@ def _sent(vocabulary, shards: int, teach: bool):
             v[first[:-1]] = _FIRST
             u = np.concatenate([[_FIRST], v[:-1]])[: len(w)].astype(np.int32)
             u[first[:-1]] = _FIRST
-            # After an unknown word nothing is looked up but the word itself, which any shard can do.
-            shard = (mix(np.where(v == _UNKNOWN, np.arange(len(v)) << 32, v).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            # After an unknown word nothing is looked up but the word itself.
+            alone = v == _UNKNOWN
+            shard = np.where(alone, shards, (mix(v.astype(np.uint64)) % np.uint64(shards)).astype(np.int64))
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards + 1))
             batch, out = (task << 33) + i, []
             for s in np.flatnonzero(np.diff(ends)):
                 at = order[ends[s] : ends[s + 1]]
-                out.append((int(s), _TEACH if teach else _JUDGE, batch, len(at), _packed(np.diff(text[at], prepend=0).astype(np.uint32), u[at], v[at], w[at])))
-            if not teach:
-                head = pa.record_batch([part.column("doc_id"), part.column("lang"), pa.array(np.diff(first))], ["doc_id", "lang", "n"])
+                out.append((int(s), _JUDGE if shares else _TEACH, batch, len(at), _packed(np.diff(text[at], prepend=0).astype(np.uint32), u[at], v[at], w[at])))
+            if shares:
+                own = np.zeros(part.num_rows, np.int64)
+                np.add.at(own, text[alone], _units(shares.value[w[alone]]))
+                head = pa.record_batch([part.column("doc_id"), part.column("lang"), pa.array(np.diff(first)), pa.array(own)], ["doc_id", "lang", "n", "own"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, head.schema) as stream:
                     stream.write_batch(head)
@@ -231,6 +236,10 @@ def _sent(vocabulary, shards: int, teach: bool):
     return sent
 
 
+def _units(p: np.ndarray) -> np.ndarray:
+    return np.rint(-np.log(p) * UNIT).astype(np.int64)
+
+
 def _keys(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of trigrams: their keys, those of their last two words, of the first two, and of the middle one."""
     u, v, w = (x.astype(np.uint64) for x in (u, v, w))
@@ -255,6 +264,18 @@ def _summary(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(x.astype(np.int64)) for x in (level, np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out]))], ["level", "key", "n"])
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Broadcast if they are at most ``IDS``, so that texts stay where they are; of more Spark joins as it does."""
+    return F.broadcast(ids) if ids.limit(IDS + 1).count() <= IDS else ids
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The texts of ``rows``, of an id that repeats the smallest. Only the texts of such ids are shuffled."""
+    again = _small(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    least = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.join(again, "doc_id", "left_anti").select("text").unionAll(least.select("text"))
+
+
 class Fitted:
     """A model whose counts are in the messages ``taught``; words' numbers and shares and the discounts are here."""
 
@@ -275,12 +296,12 @@ def fit(docs: DataFrame, labels: DataFrame, shards: int | None = None) -> Fitted
     """A model of all trusted texts (quality 1) of the model's half, whole. Of rows that repeat an id, the smallest text counts."""
     shards = shards or chunks_of(docs, SHARD)
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").where(~_for_cut("doc_id")).select("doc_id").distinct()
-    rows = checkpointed(docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("text"))
+    rows = _once(docs.select("doc_id", "text").join(_small(trusted), "doc_id", "left_semi"))
     seen = rows.mapInArrow(_seen, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     words, n = seen.column("word").to_numpy().view(np.uint64), seen.column("n").to_numpy()
     order = np.lexsort((words, -n))
     vocabulary = docs.sparkSession.sparkContext.broadcast(Table(words[order], np.arange(_WORD, len(words) + _WORD, dtype=np.int32)))
-    return Fitted(rows.mapInArrow(_sent(vocabulary, shards, True), _SENT), vocabulary, len(words), shards)
+    return Fitted(rows.mapInArrow(_sent(vocabulary, shards), _SENT), vocabulary, len(words), shards)
 
 
 def _answers(shares, discounts):
@@ -296,7 +317,7 @@ def _answers(shares, discounts):
                 p = share.get(key) + np.where(rest > 0, rest, 1.0) * p
         text = np.cumsum(step, dtype=np.int64)
         at = np.flatnonzero(np.diff(text, prepend=-1))
-        sums = np.add.reduceat(np.rint(-np.log(p) * UNIT).astype(np.int64), at)
+        sums = np.add.reduceat(_units(p), at)
         return len(at), _packed(np.diff(text[at], prepend=0).astype(np.uint32), sums)
 
     def model_of(messages):
@@ -329,20 +350,21 @@ def _answers(shares, discounts):
 def _summed(table: pa.Table) -> pa.Table:
     rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "n", "data"))))
     head = pa.ipc.open_stream(next(data for kind, _, data in rows if kind == _HEAD)).read_all()
-    loss = np.zeros(head.num_rows, np.int64)
+    loss = head.column("own").to_numpy().copy()
     for kind, n, data in rows:
         if kind == _JUDGE:
             step, sums = _unpacked(data, n, np.uint32, np.int64)
             loss[np.cumsum(step, dtype=np.int64)] += sums
-    return head.append_column("loss", pa.array(loss / UNIT))
+    return head.drop_columns("own").append_column("loss", pa.array(loss / UNIT))
 
 
 def losses(docs: DataFrame, model: Fitted) -> DataFrame:
     """doc_id, lang, n (words and one end) and loss (the sum of -ln p) of each row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sent = model.taught.unionAll(rows.mapInArrow(_sent(model.vocabulary, model.shards, False), _SENT))
+    shares = docs.sparkSession.sparkContext.broadcast(model.shares)
+    sent = model.taught.unionAll(rows.mapInArrow(_sent(model.vocabulary, model.shards, shares), _SENT))
     dealt = sent.repartition(model.shards, "shard").sortWithinPartitions("shard", "kind")
-    answers = dealt.mapInArrow(_answers(docs.sparkSession.sparkContext.broadcast(model.shares), model.discounts), "batch long, kind int, n long, data binary")
+    answers = dealt.mapInArrow(_answers(shares, model.discounts), "batch long, kind int, n long, data binary")
     return answers.groupBy("batch").applyInArrow(_summed, "doc_id long, lang string, n long, loss double")
 
 
