@@ -20,11 +20,11 @@ from .tables import checkpointed, chunks_of
 from .words import SPACES, Words, mix, pack, unpack, utf8
 
 #: Bytes of text that go to a shard together, and those of a shard.
-SLICE, SHARD = 4 << 20, 64 << 20
+SLICE, SHARD = 2 << 20, 32 << 20
 #: Ids up to which a list of them is broadcast.
 IDS = 1 << 22
-#: The unit of losses, which are whole numbers until they are summed, so that the sum doesn't depend on its order.
-UNIT = 2.0**30
+#: The unit of losses (shares are no more precise), which are whole numbers until they are summed, so that the sum doesn't depend on its order.
+UNIT = 2.0**24
 #: Words' worth of the language's mean that a document's loss is mixed with.
 PRIOR_WORDS = 20.0
 #: Rows' worth of all languages' spread that a language's spread is mixed with.
