@@ -1,5 +1,8 @@
 """The model of op6 is of all trusted texts, and shards' losses are those of one model of them."""
 
+import pathlib
+import time
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,3 +26,30 @@ def test_all_trusted_texts_teach(spark, sample):
         want = sorted((r[0] or -1, r[2] or "", int(a), float(b)) for r, a, b in zip(rows, n, loss))
         assert [x[:3] for x in got] == [x[:3] for x in want]
         assert np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-4)
+
+
+def test_what_was_shuffled_is_removed(spark, sample):
+    """Texts are judged in parts with the same losses, and nothing that a part has shuffled stays on disk."""
+    docs = sample.select("doc_id", "text", "lang")
+    labels = docs.where("doc_id IS NOT NULL").selectExpr("doc_id", "1 AS quality").distinct()
+    folders = [pathlib.Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    left = lambda: {f for d in folders for f in d.glob("*/shuffle_*.data")}
+    before = left()
+    op6_quality.score(docs, labels)
+    for _ in range(50):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+    fitted = op6_quality.fit(docs, labels, 3)
+    one, four = (sorted((r.doc_id, r.n, r.loss) for r in op6_quality.losses(docs, fitted, parts).collect()) for parts in (1, 4))
+    assert one == four and len(one) == docs.count()
+
+
+def test_messages_give_their_columns_back():
+    r = np.random.default_rng(3)
+    for n, words in ((0, 1), (1, 1), (1, 9), (2000, 40), (500, 2)):
+        v, w, u, text = (r.integers(0, words, n) for _ in range(4))
+        at = op6_quality._by_pair(v, w)
+        got = op6_quality._columns(op6_quality._message(v[at], w[at], u[at], text[at]), n, 2)
+        assert all((a == b[at]).all() for a, b in zip(got, (v, w, u, text)))

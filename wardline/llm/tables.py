@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession):
+    """What an action in this block has shuffled is removed when it ends, not whenever the driver's garbage is collected."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def lowered(text: Column) -> Column:
     """A-Z only; lower() would change other letters as well."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
